@@ -235,8 +235,9 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, t
     clusters = components(edges)
 
     members = cut(clusters.join(sets.select(F.col("set_id").alias("node"), "rep", "copies", "n_shingles"), "node").select(F.col("node").alias("set_id"), F.col("label").alias("cluster"), "rep", "copies", "n_shingles"))
-    blocks = members.groupBy("cluster").agg(
-        F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("long").alias("blocks")
+    # Its own table, so that the join below deals both sides anew and a large cluster's rows can be split.
+    blocks = cut(
+        members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("long").alias("blocks"))
     )
     wanted = members.join(blocks, "cluster").select(F.col("rep").alias("doc_id"), "set_id", "cluster", "copies", "blocks")
     loaded = map_arrow(
