@@ -15,6 +15,58 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_collinear_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn from the rows that are not held out, predict every row from its text."""
+    from .common import held_out
+    from .language_id import fit_language_model, predict_language, trainable
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit_language_model(trainable(docs))
+    return predict_language(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learn labels of the rows that are not held out, score every row from its text."""
+    from pyspark.sql import functions as F
+
+    from .common import held_out
+    from .quality import fit_quality, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    net = fit_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, net).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Store every text as a FLAC stream, read the streams back, digest what was read."""
+    from .flac import flac_column, media_digests
+
+    return media_digests(flac_column(table(spark, sf_dir, "documents")))
+
+
+def op3_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_parquet_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Write token files to the shared folder, read starts, counts and ids back from them."""
+    from .tokens import new_path, token_digests, write_tokens
+
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return token_digests(spark, write_tokens(table(spark, sf_dir, "documents"), new_path(spark), tokenizer))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
