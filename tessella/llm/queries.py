@@ -67,9 +67,58 @@ def op9_parquet_token_ids(spark: SparkSession, sf_dir: str, tokenizer: str | Non
     return token_digests(spark, write_tokens(table(spark, sf_dir, "documents"), new_path(spark), tokenizer))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack all documents by their number of words."""
+    from .packing import pack, word_counts
+
+    return pack(word_counts(table(spark, sf_dir, "documents")))
+
+
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates that give the domains of the labels table their target shares of the corpus's tokens."""
+    from .mixing import WEIGHTS, label_domains, mix
+
+    return mix(table(spark, sf_dir, "documents"), label_domains(table(spark, sf_dir, "labels")), WEIGHTS)
+
+
+def op5_chat_tool_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chats
+
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_tool_linking": OP5_SQL}
+
+
+#: User turns are calls, assistant turns results; JSON keys in sorted order, as the canonical form has them.
+OP5_SQL = """
+WITH e AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text,
+         CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+         CASE role WHEN 'user' THEN conv_id || ':' || turn WHEN 'assistant' THEN conv_id || ':' || (turn - 1) END AS call_id
+  FROM conversations
+), calls AS (SELECT * FROM e WHERE kind = 'call'
+), results AS (
+  SELECT conv_id, call_id, count(*) AS n_results, min(turn) AS result_turn, arg_min(text, turn) AS result
+  FROM e WHERE kind = 'result' GROUP BY ALL
+)
+SELECT c.conv_id, c.turn, CAST(0 AS INTEGER) AS ordinal, 'call' AS kind, c.call_id, CAST(0 AS INTEGER) AS level,
+       c.text <> '' AS valid, CAST(c.text = '' AS INTEGER) AS n_errors, coalesce(r.n_results, 0) AS n_results, r.result_turn,
+       '{"arguments":{"prompt":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '},"conv_id":' || c.conv_id
+       || ',"errors":[' || CASE WHEN c.text = '' THEN '"$.prompt: shorter than 1"' ELSE '' END || '],"id":"' || c.call_id
+       || '","name":"reply","result":' || coalesce(CAST(to_json(r.result) AS VARCHAR), 'null') || ',"turn":' || c.turn || ',"type":"call"}' AS json
+FROM calls c LEFT JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+UNION ALL
+SELECT e.conv_id, e.turn, 0, 'orphan_result', e.call_id, 0, NULL, 0, 0, NULL,
+       '{"conv_id":' || e.conv_id || ',"id":"' || e.call_id || '","result":' || CAST(to_json(e.text) AS VARCHAR) || ',"turn":' || e.turn || ',"type":"orphan_result"}'
+FROM e ANTI JOIN calls c ON e.conv_id = c.conv_id AND e.call_id = c.call_id WHERE e.kind = 'result'
+UNION ALL
+SELECT e.conv_id, e.turn, 0, 'message', NULL, 0, NULL, 0, 0, NULL,
+       '{"conv_id":' || e.conv_id || ',"role":' || CAST(to_json(e.role) AS VARCHAR) || ',"text":' || CAST(to_json(e.text) AS VARCHAR) || ',"turn":' || e.turn || ',"type":"message"}'
+FROM e WHERE e.kind = 'message'
+"""
