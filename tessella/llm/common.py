@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step works on; it bounds a worker's memory whatever the batch size.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import cut, map_arrow, release, runs, shared_dir, steps
 from .words import Words, ngrams
 
-K, WINDOW = 5, 12
+K, WINDOW = 5, 16
 MIN_WORDS, IDENTITY = 50, 0.8
 #: Words on each side of a chain that the alignment may reach into.
 MARGIN = 64
@@ -142,20 +142,26 @@ def _chained(batches):
         order = np.argsort(x, kind="stable")
         x, y, owner = x[order], y[order], owner[order]
         # A run of seeds, whoever owns them, that is too short for a passage even with all unseen words around it goes.
-        reach = WINDOW + K - 1
+        # Shared words reach beyond the ends of a run by less than ``reach``, so nothing is looked for further out.
+        reach = WINDOW + K
         run = np.cumsum(np.diff(x, prepend=x[0]) > MAX_GAP + K)
         first = np.flatnonzero(np.diff(run, prepend=-1))
         last = np.append(first[1:], len(x)) - 1
-        long = (x[last] + K - x[first] + 2 * reach >= MIN_WORDS)[run]
-        x, y, owner = x[long], y[long], owner[long]
+        begin, end = x[first] - reach, x[last] + K + reach
+        long = (end - begin >= MIN_WORDS)[run]
+        x, y, owner, run = x[long], y[long], owner[long], run[long]
         for o in np.unique(owner):
-            parts = segments(x[owner == o], y[owner == o])
+            mine = owner == o
+            runs_at = dict(zip(x[mine].tolist(), run[mine].tolist()))
+            parts = segments(x[mine], y[mine])
             for chain in chains(parts):
                 own = parts[chain]
-                lo, hi = max(0, int(own[0, 0]) - MARGIN), int(own[-1, 1]) + MARGIN
-                owner_lo = max(0, int(own[0, 2]) - MARGIN) // PAGE * PAGE
-                owner_hi = -(-(int(own[-1, 3]) + MARGIN) // PAGE) * PAGE
-                rows.append((doc, int(o), lo, hi, owner_lo, owner_hi, own.ravel().tolist()))
+                x0, x1 = int(own[0, 0]), int(own[-1, 1])
+                left = min(MARGIN, x0 - int(begin[runs_at[x0]]))
+                right = min(MARGIN, int(end[runs_at[x0]]) - x1)
+                owner_lo = max(0, int(own[0, 2]) - left) // PAGE * PAGE
+                owner_hi = -(-(int(own[-1, 3]) + right) // PAGE) * PAGE
+                rows.append((doc, int(o), max(0, x0 - left), x1 + right, owner_lo, owner_hi, own.ravel().tolist()))
         if len(rows) >= 5_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CHAIN.types)], schema=_CHAIN)
             rows = []
@@ -236,7 +242,29 @@ def align(a: np.ndarray, b: np.ndarray, parts: np.ndarray) -> list[tuple[int, in
                 score.append(s)
                 partner.append(np.linspace(v1, q, len(s), endpoint=False).astype(np.int64))
     diagonal(x1, y1, right)
-    s, y = np.concatenate(score), np.concatenate(partner)
+    return passages(np.concatenate(score), np.concatenate(partner), x0 - left)
+
+
+def align_one(a: np.ndarray, b: np.ndarray, x0: int, x1: int, y0: int, y1: int) -> list[tuple[int, int, int, int, int]]:
+    """``align`` for a chain of one segment, which most chains are."""
+    left, right = min(x0, y0), min(len(a) - x1, len(b) - y1)
+    if right < 0:
+        return []
+    equal = a[x0 - left : x1 + right] == b[y0 - left : y1 + right]
+    n = len(equal)
+    same = int(np.count_nonzero(equal))
+    if same < IDENTITY * MIN_WORDS:
+        return []
+    if same == n:
+        return [(x0 - left, x1 + right, y0 - left, y1 + right, n)] if n >= MIN_WORDS else []
+    return passages(np.where(equal, 1.0, -IDENTITY / (1 - IDENTITY)), np.arange(y0 - left, y1 + right), x0 - left)
+
+
+def passages(s: np.ndarray, y: np.ndarray, at: int) -> list[tuple[int, int, int, int, int]]:
+    """Parts of an alignment with the greatest scores, first the best, then the best on each side of it, and so on.
+
+    s: score of each word of the first text from word ``at`` on; y: its place in the second.
+    """
     out, todo = [], [(0, len(s))]
     while todo:
         lo, hi = todo.pop()
@@ -250,7 +278,7 @@ def align(a: np.ndarray, b: np.ndarray, parts: np.ndarray) -> list[tuple[int, in
             continue
         if end - start >= MIN_WORDS:
             f, t = lo + start, lo + end
-            out.append((x0 - left + f, x0 - left + t, int(y[f]), int(y[t - 1]) + 1, int((s[f:t] == 1).sum())))
+            out.append((at + f, at + t, int(y[f]), int(y[t - 1]) + 1, int((s[f:t] == 1).sum())))
         todo += [(lo, lo + start), (lo + end, hi)]
     return sorted(out)
 
@@ -261,11 +289,14 @@ _PASSAGE = "doc_id long, other_doc_id long, start_word long, end_word long, othe
 def _aligned(batches):
     for batch in batches:
         rows = []
-        for r in batch.to_pylist():
-            a, b = np.frombuffer(r["words"], np.uint32), np.frombuffer(r["owner_words"], np.uint32)
-            shift = np.array([r["lo"], r["lo"], r["owner_lo"], r["owner_lo"]])
-            for f, t, g, u, same in align(a, b, np.array(r["parts"]).reshape(-1, 4) - shift):
-                rows.append((r["doc_id"], r["owner"], f + r["lo"], t + r["lo"], g + r["owner_lo"], u + r["owner_lo"], same))
+        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "owner", "lo", "owner_lo", "parts", "words", "owner_words")]
+        for doc, owner, lo, owner_lo, parts, words, owner_words in zip(*columns):
+            a, b = np.frombuffer(words, np.uint32), np.frombuffer(owner_words, np.uint32)
+            if len(parts) == 4:
+                found = align_one(a, b, parts[0] - lo, parts[1] - lo, parts[2] - owner_lo, parts[3] - owner_lo)
+            else:
+                found = align(a, b, np.array(parts).reshape(-1, 4) - np.array([lo, lo, owner_lo, owner_lo]))
+            rows += [(doc, owner, f + lo, t + lo, g + owner_lo, u + owner_lo, same) for f, t, g, u, same in found]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[x.split()[0] for x in _PASSAGE.split(", ")])
 
