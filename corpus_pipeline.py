@@ -1,14 +1,27 @@
-"""A corpus pipeline of five operators; each stage gets what the one before it wrote."""
+"""A corpus pipeline of five operators; each stage gets what the one before it wrote.
+
+Stages: language ID (texts without a language go), n-gram Jaccard join (one document of each group of near copies
+stays), substring dedup (repeated passages go), mixing to target weights (documents are taken at their rates), best-fit
+packing (bins of several lengths).  All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessella.llm.common import shared_dir, table
 from tessella.llm.jaccard_join import without_near_copies
+from tessella.llm.language_id import fit_language_model, identified, trainable
+from tessella.llm.mixing import WEIGHTS, label_domains, mixed
+from tessella.llm.packing import pack, word_counts
+from tessella.llm.substring_dedup import without_repeats
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; the model learns from those that are not held out."""
+    return identified(docs, fit_language_model(trainable(docs)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,7 +29,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return without_near_copies(docs)
 
 
-STAGES = [("ngram_jaccard_join", near_duplicates)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages of 50 words or more that they repeat from earlier ones."""
+    return without_repeats(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A mix with the target shares of the domains of ``labels``; sure clean documents all stay."""
+    return mixed(docs, label_domains(table(spark, sf_dir, "labels")), WEIGHTS, keep="clean")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document, with its bin."""
+    return pack(word_counts(docs))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("mixing", mixing),
+    ("best_fit_packing", packing),
+]
 
 #: The first stage learns a classifier and the fourth fits rates by iteration; SQL has neither.
 ORACLE_SQL = None
