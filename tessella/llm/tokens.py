@@ -37,8 +37,9 @@ END_ID = 1
 #: Distinct chunks whose ids a worker remembers.
 REMEMBERED = 500_000
 
-#: White space to Python only: a text with one of these is encoded whole.
-_SEPARATOR = re.compile("[\x1c-\x1f]")
+#: Characters beyond those whose lower case, normal form and white space are the same to Python and to tokenizers,
+#: character by character: Latin letters, digits and common punctuation.  A text with one of these is encoded whole.
+_OTHER = re.compile("[^\t-\r\x20-\x7e\x85\xa0-\u012f\u0131-\u017f\u2010-\u2027\u2030-\u205e\u20ac]")
 _TAIL = re.compile(r"^(.*[^\W_])([.,;:!?]+)$", re.S)
 
 
@@ -57,6 +58,31 @@ def exact_by_chunk(tokenizer_json: str) -> bool:
     )
 
 
+def lower_cases(tokenizer_json: str) -> bool:
+    """Whether the tokenizer lower-cases texts itself.
+
+    Special tokens, which are matched as they stand, all hold "<|"; texts with that are left as they are.
+    """
+    spec = json.loads(tokenizer_json)
+    inner = (spec.get("normalizer") or {}).get("normalizers", [])
+    return any(n.get("type") == "Lowercase" for n in inner) and all("<|" in t["content"] for t in spec.get("added_tokens", []))
+
+
+class _Chunks(dict):
+    """Ids of chunks, as bytes of 32-bit integers, each made when it is first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode_one = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        # Letters and the punctuation behind them are pre-tokens of their own, so a word is learned once for all of it.
+        m = _TAIL.match(chunk) if "<" not in chunk else None
+        ids = self[m[1]] + self[m[2]] if m else self.encode_one(chunk)
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts by a tokenizer file, without special tokens added."""
 
@@ -64,38 +90,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_chunk = exact_by_chunk(self.tokenizer.to_str())
-        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        # One text at a time: a batch would start threads of its own beside the executor's.
-        encode = self.tokenizer.encode
-        return [array("i", encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
-
-    def _learn(self, chunks: set[str]) -> None:
-        known = self.known
-        whole, tails = [], []
-        for c in chunks:
-            m = _TAIL.match(c)
-            (tails.append((c, m[1], m[2])) if m and "<" not in c else whole.append(c))
-        new = {p for _, a, b in tails for p in (a, b) if p not in known}
-        todo = [*new, *whole]
-        known.update(zip(todo, self._ids(todo)))
-        for c, a, b in tails:
-            known[c] = known[a] + known[b]
+        spec = self.tokenizer.to_str()
+        self.by_chunk, self.folds_case = exact_by_chunk(spec), lower_cases(spec)
+        self.known = _Chunks(self._one)
+
+    def _one(self, text: str) -> bytes:
+        return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of 32-bit integers."""
-        if not self.by_chunk or any(map(_SEPARATOR.search, texts)):
-            return self._ids(texts)
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new:
-            self._learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+            self.known.clear()
+        get, out = self.known.__getitem__, []
+        for text in texts:
+            if not self.by_chunk or _OTHER.search(text):
+                out.append(self._one(text))
+                continue
+            if self.folds_case and "<|" not in text:
+                text = text.lower()
+            out.append(b"".join(map(get, text.split())))
+        return out
 
 
 @lru_cache(maxsize=2)
