@@ -322,7 +322,8 @@ def _decode_lanes(streams: list[bytes], lanes: list[tuple[int, Frame]]) -> list[
     for o in range(1, 5):
         rows = np.flatnonzero((kind & 40) == 8)
         rows = rows[order[rows] == o]
-        coefficients[:o, rows] = np.array(FIXED[o])[:, None]
+        if rows.size:
+            coefficients[:o, rows] = np.array(FIXED[o])[:, None]
     rows = np.flatnonzero(kind & 32)
     if len(rows):
         precision = read(rows, 4) + 1
