@@ -29,6 +29,8 @@ from .common import stored
 PER_DOMAIN, VOCABULARY, LONGEST_WORD = 1_500, 8_192, 40
 EVIDENCE, GRID, SMOOTHING = 24, 100, 0.5
 ROUNDS, TOLERANCE = 100, 1e-6
+#: ``mixed`` keeps all documents that are this likely of the domain to keep.
+KEEP_AT = 0.5
 
 
 def _words(text: str = "text") -> Column:
@@ -159,8 +161,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total_t
 def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep: str) -> DataFrame:
     """The documents that a mix without repeats takes, all columns as they are.
 
-    The amount is set so that documents of the domain ``keep`` have a rate of about 1; a document stays if a number
-    made of its id, uniform in [0, 1), is below its rate over the rate of a document that is ``keep`` for certain.
+    Documents that are of the domain ``keep`` with a probability of ``KEEP_AT`` or more all stay.  Another stays if a
+    number made of its id, uniform in [0, 1), is below its rate over the rate of a document that is ``keep`` for
+    certain.  Without repeats the shares of what stays lie between those of the corpus and the targets.
     """
     model = fit_domains(docs, labelled, sorted(weights))
     members = stored(posteriors(docs, model), "mix-members")
@@ -168,9 +171,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep:
     tokens = members.agg(F.sum(F.col("n_tokens") * F.col("p")[k])).first()[0] or 0.0
     rates, _ = fit_rates(members, [tokens * weights[d] / weights[keep] for d in model.domains])
     sure = F.array(*[F.lit(1.0 if i == k else 0.0) for i in range(len(model.domains))])
-    ratio = members.select("doc_id", "p", sure.alias("sure")).select("doc_id", rates.column().alias("rate"), rates.column("sure").alias("most"))
+    ratio = members.select("doc_id", "p", sure.alias("sure")).select("doc_id", F.col("p")[k].alias("own"), rates.column().alias("rate"), rates.column("sure").alias("most"))
     number = F.pmod(F.xxhash64("doc_id", F.lit("take")), F.lit(1 << 40)) / float(1 << 40)
-    taken = ratio.where(number * F.col("most") < F.col("rate")).select(F.col("doc_id").alias("__taken"))
+    taken = ratio.where((F.col("own") >= KEEP_AT) | (number * F.col("most") < F.col("rate"))).select(F.col("doc_id").alias("__taken"))
     return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__taken")), "left_semi")
 
 
