@@ -81,8 +81,11 @@ class ArrayPlan:
         if dim.name in s.lod_dims:
             for _ in range(level):
                 size = halved(size)
-        elif s.append_downsample and dim.name == s.append[-1].name:
-            size = ceildiv(size, 1 << level)
+        elif s.append_downsample and dim.name == s.append[-1].name and size:
+            # Whole epochs are merged: the last group is as long as its longest epoch.  ceil(size / 2**level) for chunks of 1.
+            whole, rest = divmod(size, dim.n)
+            group = (whole - (not rest)) >> level
+            size = group * dim.n + (dim.n if group << level < whole else rest)
         return size
 
     def extents(self, level: int = 0, frames: int | None = None) -> list[Extent]:
@@ -92,7 +95,8 @@ class ArrayPlan:
             size = self.size(d, level, frames)
             count = ceildiv(size, d.n) if size else 1
             per = d.chunks_per_shard or count
-            out.append(Extent(d.name, size, d.n, count, min(per, count) if size else per))
+            # An unbounded dimension's shards keep their room, however few chunks have come.
+            out.append(Extent(d.name, size, d.n, count, min(per, count) if d.size else per))
         return out
 
     def stored_extents(self, level: int = 0, frames: int | None = None) -> list[Extent]:
