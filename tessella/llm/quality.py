@@ -6,7 +6,7 @@ logistic unit.  The first layer is kept as one table per place in the filter, so
 
 Defined results: null texts are empty; an empty text is scored like a text of padding bytes; without labels of both
 kinds every score is the share of label 1, or 0.5 where there is none.  Labels with a null are ignored; a document
-with several label rows is learned from as often.  At most about ``PER_LABEL`` documents of each label are learned from.
+with several equal label rows is learned from once.  At most about ``PER_LABEL`` documents of each label are learned from.
 """
 
 from __future__ import annotations
@@ -125,8 +125,6 @@ class ByteNet:
                 self.bias = (self.bias - steps_[1]).astype(np.float32)
                 self.out = self.out - steps_[2]
                 self.out_bias -= float(steps_[3][0])
-        # Classes weighed alike in training; the known shares come back as a shift of the intercept.
-        self.out_bias += float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))) * 0.0
         return self
 
 
@@ -136,12 +134,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL)
     Returns the net, or a constant score where the labels are of one kind or there are none.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").where(~held_out())
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= MOST_BYTES).join(known, "doc_id")
+    known = known.distinct()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= MOST_BYTES)
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return float(next(iter(counts), 0.5))
     wanted = {q: int(1e6 * min(1.0, per_label / n)) + 1 for q, n in counts.items()}
-    got = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1_000_000)) < F.when(F.col("quality") == 1, wanted[1]).otherwise(wanted[0])).collect()
+    number = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1_000_000))
+    picked = known.where(number < F.when(F.col("quality") == 1, wanted[1]).otherwise(wanted[0]))
+    # About 2 * per_label rows of two numbers, whatever the corpus: they are broadcast, and no text is shuffled.
+    got = rows.join(F.broadcast(picked), "doc_id").collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"], r["quality"]))
     if len({r["quality"] for r in got}) < 2:
         return counts.get(1, 0) / sum(counts.values())
