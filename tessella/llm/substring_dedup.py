@@ -7,6 +7,9 @@
    that ends in a segment is found in a Fenwick tree over the owner's positions, with a cost for every word skipped.
 4. Chains are aligned word by word: along diagonals, by edit distance in the gaps, by extension at the ends.  The
    parts of at least ``MIN_WORDS`` words whose share of equal words is at least ``IDENTITY`` are the passages.
+5. A passage's seeds may all be owned by documents that hold parts of it only.  So every run of ``MIN_WORDS`` words has
+   an owner too, and joins it: each such run that an earlier document has is in a passage, whoever owns its seeds.
+   Only regions are looked at whose seeds all occur in several documents; others have no such run.
 
 Words are as in ``words``, compared without ASCII case.  Null texts are empty.  Rows with a null doc_id and passages
 that repeat within one doc_id only are not reported.  Where a doc_id has several rows, all of them are looked at.
@@ -19,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, release, runs, shared_dir, steps
-from .words import Words, ngrams
+from .common import binary_values, cut, map_arrow, release, runs, shared_dir, steps
+from .words import Words, mix, ngrams
 
 K, WINDOW = 5, 16
 MIN_WORDS, IDENTITY = 50, 0.8
@@ -130,6 +133,18 @@ def chains(parts: np.ndarray) -> list[list[int]]:
     return out
 
 
+def regions(x: np.ndarray) -> list[tuple[int, int]]:
+    """Word ranges around sorted places of shared seeds that have all exact passages in them, an unshared seed in none.
+
+    The seeds of an exact passage are at most WINDOW apart, and its ends less than WINDOW + K words from the outer ones.
+    """
+    first = np.flatnonzero(np.diff(x, prepend=-WINDOW - 1) > WINDOW)
+    last = np.append(first[1:], len(x)) - 1
+    lo, hi = np.maximum(0, x[first] - WINDOW + 1), x[last] + K + WINDOW - 1
+    long = hi - lo >= MIN_WORDS
+    return list(zip(lo[long].tolist(), hi[long].tolist()))
+
+
 _CHAIN = pa.schema([("doc_id", pa.int64()), ("owner", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("owner_lo", pa.int64()), ("owner_hi", pa.int64()), ("parts", pa.list_(pa.int64()))])
 
 
@@ -141,12 +156,15 @@ def _chained(batches):
         y, owner = group.column("owner_pos").to_numpy().astype(np.int64), group.column("owner").to_numpy()
         order = np.argsort(x, kind="stable")
         x, y, owner = x[order], y[order], owner[order]
+        rows += [(doc, None, lo, hi, None, None, None) for lo, hi in regions(x)]
+        later = owner < doc
+        x, y, owner = x[later], y[later], owner[later]
         # A run of seeds, whoever owns them, that is too short for a passage even with all unseen words around it goes.
         # Shared words reach beyond the ends of a run by less than ``reach``, so nothing is looked for further out.
         reach = WINDOW + K
-        run = np.cumsum(np.diff(x, prepend=x[0]) > MAX_GAP + K)
+        run = np.cumsum(np.diff(x, prepend=x[:1]) > MAX_GAP + K)
         first = np.flatnonzero(np.diff(run, prepend=-1))
-        last = np.append(first[1:], len(x)) - 1
+        last = np.append(first[1:], len(x))[: len(first)] - 1
         begin, end = x[first] - reach, x[last] + K + reach
         long = (end - begin >= MIN_WORDS)[run]
         x, y, owner, run = x[long], y[long], owner[long], run[long]
@@ -176,15 +194,46 @@ def _slices(batches):
             words = Words([t.encode("utf-8", "surrogatepass").lower() for t in texts])
             ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
             asked = part.column(part.schema.get_field_index("asked")).to_pylist()
-            docs, los, his, cells = [], [], [], []
+            docs, los, his, whole, cells = [], [], [], [], []
             for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
                 short = words.hashes[a:b].astype(np.uint32)
                 for r in asked[i]:
                     docs.append(ids[i])
                     los.append(r["lo"])
                     his.append(r["hi"])
+                    whole.append(r["region"])
                     cells.append(short[r["lo"] : r["hi"]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(los, pa.int64()), pa.array(his, pa.int64()), pa.array(cells, pa.binary())], names=["doc_id", "lo", "hi", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(los, pa.int64()), pa.array(his, pa.int64()), pa.array(whole, pa.bool_()), pa.array(cells, pa.binary())], names=["doc_id", "lo", "hi", "region", "words"])
+
+
+def _grams(batches):
+    """Every run of ``MIN_WORDS`` words of the regions."""
+    for batch in batches:
+        ids, los = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "lo"))
+        words, at = binary_values(batch.column(batch.schema.get_field_index("words")), "<u4")
+        if len(words) < MIN_WORDS:
+            continue
+        row = np.repeat(np.arange(len(ids)), np.diff(at))
+        inside = np.flatnonzero(row[: len(row) - MIN_WORDS + 1] == row[MIN_WORDS - 1 :])
+        grams = ngrams(mix(words.astype(np.uint64)), MIN_WORDS)[inside]
+        row = row[inside]
+        yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(ids[row]), pa.array((los[row] + inside - at[row]).astype(np.int32))], names=["gram", "doc_id", "pos"])
+
+
+def _exact(batches):
+    """Consecutive runs with one owner, joined to passages."""
+    for group in runs(batches, ["doc_id"]):
+        doc = group.column("doc_id")[0].as_py()
+        x = group.column("pos").to_numpy().astype(np.int64)
+        y, owner = group.column("owner_pos").to_numpy().astype(np.int64), group.column("owner").to_numpy()
+        order = np.lexsort((x, x - y, owner))
+        x, y, owner = x[order], y[order], owner[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (np.diff(owner) != 0) | (np.diff(x - y) != 0) | (np.diff(x) > 1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(x)) - 1
+        columns = [np.full(len(first), doc), owner[first], x[first], x[last] + MIN_WORDS, y[first], y[last] + MIN_WORDS, x[last] + MIN_WORDS - x[first]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in _PASSAGE.split(", ")])
 
 
 def edits(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
@@ -301,15 +350,20 @@ def _aligned(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[x.split()[0] for x in _PASSAGE.split(", ")])
 
 
-def _all_chains(docs: DataFrame) -> DataFrame:
-    seeds = map_arrow(docs, _seeds, "seed long, doc_id long, pos int")
+def _matches(places: DataFrame, key: str) -> DataFrame:
+    """Places (key, doc_id, pos) of the keys that several documents have, each with the key's first place."""
     owners = (
-        seeds.groupBy("seed")
+        places.groupBy(key)
         .agg(F.min(F.struct(F.col("doc_id").alias("owner"), F.col("pos").alias("owner_pos"))).alias("first"), F.max("doc_id").alias("last"))
         .where("first.owner < last")
-        .select("seed", "first.owner", "first.owner_pos")
+        .select(key, "first.owner", "first.owner_pos")
     )
-    matches = seeds.join(owners, "seed").where("doc_id > owner").select("doc_id", "pos", "owner", "owner_pos")
+    return places.join(owners, key).select("doc_id", "pos", "owner", "owner_pos")
+
+
+def _all_chains(docs: DataFrame) -> DataFrame:
+    """Chains, and regions as rows without an owner."""
+    matches = _matches(map_arrow(docs, _seeds, "seed long, doc_id long, pos int"), "seed")
     return cut(map_arrow(matches.repartition("doc_id").sortWithinPartitions("doc_id"), _chained, "doc_id long, owner long, lo long, hi long, owner_lo long, owner_hi long, parts array<long>"))
 
 
@@ -325,18 +379,25 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     found = _all_chains(docs)
     release(spark)
     asked = (
-        found.select("doc_id", "lo", "hi")
-        .union(found.select("owner", "owner_lo", "owner_hi"))
+        found.select("doc_id", "lo", "hi", F.col("owner").isNull().alias("region"))
+        .union(found.where("owner is not null").select("owner", "owner_lo", "owner_hi", F.lit(False)))
         .distinct()
         .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("lo", "hi")).alias("asked"))
+        .agg(F.collect_list(F.struct("lo", "hi", "region")).alias("asked"))
     )
-    slices = map_arrow(docs.join(asked, "doc_id"), _slices, "doc_id long, lo long, hi long, words binary")
+    slices = map_arrow(docs.join(asked, "doc_id"), _slices, "doc_id long, lo long, hi long, region boolean, words binary")
     slices = cut(slices)
     release(spark)
+    whole, slices = slices.where("region").select("doc_id", "lo", "words"), slices.where("not region").select("doc_id", "lo", "hi", "words")
     owned = slices.select(F.col("doc_id").alias("owner"), F.col("lo").alias("owner_lo"), F.col("hi").alias("owner_hi"), F.col("words").alias("owner_words"))
     both = found.join(owned, ["owner", "owner_lo", "owner_hi"]).join(slices, ["doc_id", "lo", "hi"])
-    return map_arrow(both.select("doc_id", "owner", "lo", "owner_lo", "parts", "words", "owner_words"), _aligned, _PASSAGE).distinct()
+    aligned = cut(map_arrow(both.select("doc_id", "owner", "lo", "owner_lo", "parts", "words", "owner_words"), _aligned, _PASSAGE).distinct())
+    release(spark)
+    matches = _matches(map_arrow(whole, _grams, "gram long, doc_id long, pos int"), "gram").where("doc_id > owner")
+    exact = map_arrow(matches.repartition("doc_id").sortWithinPartitions("doc_id"), _exact, _PASSAGE).distinct().alias("e")
+    within = ("e.doc_id = a.doc_id and e.other_doc_id = a.other_doc_id and e.start_word >= a.start_word and e.end_word <= a.end_word"
+              " and e.other_start_word >= a.other_start_word and e.other_end_word <= a.other_end_word")
+    return aligned.unionByName(exact.join(aligned.alias("a"), F.expr(within), "left_anti"))
 
 
 def _removed(batches):

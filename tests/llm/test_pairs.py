@@ -177,6 +177,17 @@ def test_exact_passages_are_all_found(spark, seed):
         assert a == b and r["equal_words"] == len(a) >= 50 and r["other_doc_id"] < r["doc_id"]
 
 
+def test_exact_passages_of_stock_sentences(spark):
+    """All seeds of a passage are owned by documents that hold a part of it only."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(0, 250, 5):
+        one, two = text(rng, 30, 10**6), text(rng, 30, 10**6)
+        rows += [(i + k, f"{text(rng, 20, 10**6)} {t} {text(rng, 20, 10**6)}") for k, t in enumerate((one, two, one, f"{one} {two}", f"{one} {two}"))]
+    found = {(r["doc_id"], r["other_doc_id"], r["start_word"], r["end_word"], r["other_start_word"], r["equal_words"]) for r in passages_of(spark, rows)}
+    assert found == {(i + 4, i + 3, 20, 80, 20, 60) for i in range(0, 250, 5)}
+
+
 def test_fuzzy_passages(spark):
     rng = random.Random(8)
     rows = []
