@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import binary_values, cut, map_arrow, release, runs, shared_dir, steps
 from .words import Words, mix, ngrams
 
-K, WINDOW = 5, 16
+K, WINDOW = 5, 12
 MIN_WORDS, IDENTITY = 50, 0.8
 #: Words on each side of a chain that the alignment may reach into.
 MARGIN = 64

@@ -12,6 +12,7 @@ from tessella.llm.common import components
 from tessella.llm.fingerprint import Sketches, compare, differences, edited, fingerprints, paragraphs
 from tessella.llm.jaccard_join import jaccard_classes, least_matches, without_near_copies
 from tessella.llm.substring_dedup import Fenwick, chains, edits, repeated_passages, segments, winnow, without_repeats
+from tessella.llm.words import ngrams
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -133,6 +134,18 @@ def test_winnow_covers_every_window():
     assert len(winnow(x[:3], 16)) == 1 and len(winnow(x[:0], 16)) == 0
 
 
+def test_fuzzy_copies_share_seeds():
+    rng = np.random.default_rng(22)
+    shared = 0
+    for _ in range(2000):
+        a = rng.integers(1 << 63, size=60).astype(np.uint64)
+        b = a.copy()
+        b[rng.choice(60, 12, replace=False)] += np.uint64(1)
+        one, two = ngrams(a, 5), ngrams(b, 5)
+        shared += bool(set(one[winnow(one)].tolist()) & set(two[winnow(two)].tolist()))
+    assert shared > 0.85 * 2000
+
+
 def test_chaining_and_alignment():
     tree = Fenwick(8)
     for i, v in [(3, 5.0), (1, 7.0), (6, 9.0)]:
