@@ -27,6 +27,8 @@ from .words import Words, mix, ngrams
 
 K, WINDOW = 5, 12
 MIN_WORDS, IDENTITY = 50, 0.8
+#: Score of an unequal word, an equal one having 1: parts with IDENTITY equal words or more have a score of 0 or more.
+BAD = -round(IDENTITY / (1 - IDENTITY), 9)
 #: Words on each side of a chain that the alignment may reach into.
 MARGIN = 64
 #: Score lost for every word skipped in either text between two segments; longer skips than MAX_GAP end a chain.
@@ -159,27 +161,14 @@ def _chained(batches):
         rows += [(doc, None, lo, hi, None, None, None) for lo, hi in regions(x)]
         later = owner < doc
         x, y, owner = x[later], y[later], owner[later]
-        # A run of seeds, whoever owns them, that is too short for a passage even with all unseen words around it goes.
-        # Shared words reach beyond the ends of a run by less than ``reach``, so nothing is looked for further out.
-        reach = WINDOW + K
-        run = np.cumsum(np.diff(x, prepend=x[:1]) > MAX_GAP + K)
-        first = np.flatnonzero(np.diff(run, prepend=-1))
-        last = np.append(first[1:], len(x))[: len(first)] - 1
-        begin, end = x[first] - reach, x[last] + K + reach
-        long = (end - begin >= MIN_WORDS)[run]
-        x, y, owner, run = x[long], y[long], owner[long], run[long]
         for o in np.unique(owner):
-            mine = owner == o
-            runs_at = dict(zip(x[mine].tolist(), run[mine].tolist()))
-            parts = segments(x[mine], y[mine])
+            parts = segments(x[owner == o], y[owner == o])
             for chain in chains(parts):
                 own = parts[chain]
-                x0, x1 = int(own[0, 0]), int(own[-1, 1])
-                left = min(MARGIN, x0 - int(begin[runs_at[x0]]))
-                right = min(MARGIN, int(end[runs_at[x0]]) - x1)
-                owner_lo = max(0, int(own[0, 2]) - left) // PAGE * PAGE
-                owner_hi = -(-(int(own[-1, 3]) + right) // PAGE) * PAGE
-                rows.append((doc, int(o), max(0, x0 - left), x1 + right, owner_lo, owner_hi, own.ravel().tolist()))
+                lo, hi = max(0, int(own[0, 0]) - MARGIN), int(own[-1, 1]) + MARGIN
+                owner_lo = max(0, int(own[0, 2]) - MARGIN) // PAGE * PAGE
+                owner_hi = -(-(int(own[-1, 3]) + MARGIN) // PAGE) * PAGE
+                rows.append((doc, int(o), lo, hi, owner_lo, owner_hi, own.ravel().tolist()))
         if len(rows) >= 5_000:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CHAIN.types)], schema=_CHAIN)
             rows = []
@@ -263,7 +252,7 @@ def edits(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
 
 def align(a: np.ndarray, b: np.ndarray, parts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """Passages in a (from, to, from and to in b, equal words); parts: the chain's segments in both."""
-    bad = -IDENTITY / (1 - IDENTITY)
+    bad = BAD
     x0, y0, x1, y1 = int(parts[0, 0]), int(parts[0, 2]), int(parts[-1, 1]), int(parts[-1, 3])
     if x1 > len(a) or y1 > len(b):
         return []
@@ -306,11 +295,12 @@ def align_one(a: np.ndarray, b: np.ndarray, x0: int, x1: int, y0: int, y1: int)
         return []
     if same == n:
         return [(x0 - left, x1 + right, y0 - left, y1 + right, n)] if n >= MIN_WORDS else []
-    return passages(np.where(equal, 1.0, -IDENTITY / (1 - IDENTITY)), np.arange(y0 - left, y1 + right), x0 - left)
+    return passages(np.where(equal, 1.0, BAD), np.arange(y0 - left, y1 + right), x0 - left)
 
 
 def passages(s: np.ndarray, y: np.ndarray, at: int) -> list[tuple[int, int, int, int, int]]:
-    """Parts of an alignment with the greatest scores, first the best, then the best on each side of it, and so on.
+    """Parts of an alignment that begin and end with equal words and have at least MIN_WORDS words and IDENTITY of them
+    equal: first the one with the best score, of equal scores the longest, then the best on each side of it, and so on.
 
     s: score of each word of the first text from word ``at`` on; y: its place in the second.
     """
@@ -320,15 +310,15 @@ def passages(s: np.ndarray, y: np.ndarray, at: int) -> list[tuple[int, int, int,
         if hi - lo < MIN_WORDS:
             continue
         c = np.concatenate([[0.0], np.cumsum(s[lo:hi])])
-        gain = c - np.minimum.accumulate(c)
-        end = int(gain.argmax())
-        start = int(c[: end + 1].argmin()) if end else 0
-        if end == start:
+        begin = np.where(s[lo:hi] == 1, c[:-1], np.inf)[: hi - lo - MIN_WORDS + 1]
+        gain = np.where(s[lo + MIN_WORDS - 1 : hi] == 1, c[MIN_WORDS:], -np.inf) - np.minimum.accumulate(begin)
+        k = len(gain) - 1 - int(gain[::-1].argmax())
+        if not gain[k] >= 0:
             continue
-        if end - start >= MIN_WORDS:
-            f, t = lo + start, lo + end
-            out.append((at + f, at + t, int(y[f]), int(y[t - 1]) + 1, int((s[f:t] == 1).sum())))
-        todo += [(lo, lo + start), (lo + end, hi)]
+        start, end = int(begin[: k + 1].argmin()), k + MIN_WORDS
+        f, t = lo + start, lo + end
+        out.append((at + f, at + t, int(y[f]), int(y[t - 1]) + 1, int((s[f:t] == 1).sum())))
+        todo += [(lo, f), (t, hi)]
     return sorted(out)
 
 

@@ -12,7 +12,7 @@ from tessella.llm.common import components
 from tessella.llm.fingerprint import Sketches, compare, differences, edited, fingerprints, paragraphs
 from tessella.llm.jaccard_join import jaccard_classes, least_matches, without_near_copies
 from tessella.llm.substring_dedup import Fenwick, chains, edits, repeated_passages, segments, winnow, without_repeats
-from tessella.llm.words import ngrams
+from tessella.llm.words import Words, ngrams
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -216,6 +216,25 @@ def test_fuzzy_passages(spark):
     assert all(r["end_word"] - r["start_word"] > 90 for r in found.values())
 
 
+def test_fuzzy_passages_of_one_seed_and_edited_tails(spark):
+    rng = random.Random(23)
+    rows, one, tails = [], set(), set()
+    for i in range(0, 120, 2):
+        p = text(rng, 65, 10**6).split()
+        q = [f"changed{i}n{k}" if k % 5 == 4 and (k > 25 if i < 40 else k != 34) else w for k, w in enumerate(p)]
+        docs = [f"{text(rng, 40, 10**6)} {' '.join(w)} {text(rng, 40, 10**6)}" for w in (p, q)]
+        grams = [ngrams(Words([t.encode()]).hashes, 5) for t in docs]
+        seeds = [set(g[winnow(g)].tolist()) for g in grams]
+        if seeds[0] & seeds[1]:
+            (tails if i < 40 else one).add(i)
+        rows += [(i + k, t) for k, t in enumerate(docs)]
+    assert len(tails) == 20 and len(one) > 5
+    found = {r["other_doc_id"]: r for r in passages_of(spark, rows)}
+    assert set(found) == one | tails and all(r["doc_id"] == i + 1 for i, r in found.items())
+    assert all((found[i]["start_word"], found[i]["end_word"], found[i]["equal_words"]) == (40, 104, 57) for i in tails)
+    assert all((found[i]["start_word"], found[i]["end_word"], found[i]["equal_words"]) == (40, 104, 53) for i in one)
+
+
 def test_removal(spark):
     rng = random.Random(9)
     p = text(rng, 70, 10**6)
