@@ -221,6 +221,11 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, t
 
     ``docs`` needs doc_id and text; other columns, whatever their names, are ignored.  Empty tables give no rows.
     """
+    return _labelled(docs, n, threshold, tolerance).select("doc_id", "class_id", "n_links", "n_shingles")
+
+
+def _labelled(docs: DataFrame, n: int, threshold: float, tolerance: float) -> DataFrame:
+    """``jaccard_classes`` with the set_id of every row and the label of its class, null where there are no words."""
     spark = docs.sparkSession
     shared_dir(spark)
     docs = docs.select("doc_id", "text")
@@ -262,24 +267,50 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, t
         .withColumn("label", F.coalesce("label", "set_id"))
     )
     classes = labelled.groupBy("label").agg(F.min("rep").alias("class_id"))
-    named = labelled.join(classes, "label").select("set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = labelled.join(classes, "label").select("set_id", "label", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return features.select("doc_id", "set_id", "n_shingles").join(named, "set_id", "left").select(
         "doc_id",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
         "n_shingles",
+        "set_id",
+        "label",
     )
 
 
+def _of_sets(n: int):
+    """The rows whose set is among ``__sets``, or that have no words, with the set as ``__set``."""
+
+    def run(batches):
+        for batch in batches:
+            for part, texts in steps(batch, "text"):
+                digests = [digest(s) if len(s) else None for s in shingle_sets(texts, n)]
+                wanted = part.column(part.schema.get_field_index("__sets")).to_pylist()
+                keep = pa.array([k for k, d in enumerate(digests) if d is None or d in (wanted[k] or [])], pa.int64())
+                names = [c for c in part.schema.names if c != "__sets"]
+                columns = [part.column(part.schema.get_field_index(c)).take(keep) for c in names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary()).take(keep)], names=[*names, "__set"])
+
+    return run
+
+
 def without_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, one of each class: of the rows with the class's least doc_id the first by text.
+    """The documents, one of each class: a row with the class's least doc_id, of several such rows the first by set and text.
 
-    Rows whose doc_id is null stay.  All columns are kept as they are.
+    Where a doc_id has several rows, each goes by the class of its own text.  Rows without words stay, but for copies
+    within one doc_id.  Rows whose doc_id is null stay.  All columns are kept as they are.
     """
     from pyspark.sql import Window
-
-    kept = jaccard_classes(docs, n, threshold).where("doc_id = class_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    one = one.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
-    return one.unionByName(docs.where("doc_id is null"))
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    rows = _labelled(docs, n, threshold, TOLERANCE).where("doc_id is not null")
+    chosen = rows.where("label is not null and doc_id = class_id").groupBy("label").agg(F.min("set_id").alias("set_id"), F.min("doc_id").alias("doc_id"))
+    chosen = chosen.groupBy("doc_id").agg(F.collect_list("set_id").alias("__sets"))
+    ids = rows.groupBy("doc_id").agg((F.count("*") > 1).alias("__several"), (F.count("*") > F.count("set_id")).alias("__blank"))
+    kept = ids.join(chosen, "doc_id", "left").where("__sets is not null or __blank").select("doc_id", "__several", "__sets")
+    joined = docs.join(kept, "doc_id").select(*docs.columns, "__several", "__sets")
+    schema = StructType([*docs.schema.fields, StructField("__set", BinaryType())])
+    own = joined.where("__several").drop("__several").mapInArrow(_of_sets(n), schema)
+    order = Window.partitionBy("doc_id", "__set", F.when(F.col("__set").isNull(), F.col("text"))).orderBy(F.xxhash64("text"), "text")
+    own = own.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row", "__set")
+    return joined.where("not __several").drop("__several", "__sets").unionByName(own).unionByName(docs.where("doc_id is null"))

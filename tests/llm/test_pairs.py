@@ -107,6 +107,14 @@ def test_join_defined_cases(spark):
     assert without_near_copies(frame(spark, [(1, "a b c"), (1, "a b c"), (2, "x y z")])).count() == 2
 
 
+def test_texts_under_one_id_go_by_their_own_class(spark):
+    rng = random.Random(24)
+    texts = [text(rng, 40) for _ in range(5)]
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[3]), (3, texts[3].upper()), (4, texts[4]), (5, changed(rng, texts[3], 1)), (6, "..."), (6, "!"), (6, "!")]
+    kept = [(r["doc_id"], r["text"].lower()) for r in without_near_copies(frame(spark, rows)).collect()]
+    assert sorted(kept) == sorted([(1, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[3]), (4, texts[4]), (6, "..."), (6, "!")])
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1100)]
