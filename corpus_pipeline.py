@@ -35,8 +35,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A mix with the target shares of the domains of ``labels``; sure clean documents all stay."""
-    return mixed(docs, label_domains(table(spark, sf_dir, "labels")), WEIGHTS, keep="clean")
+    """The largest mix without repeats that has the target shares of the domains of ``labels``."""
+    return mixed(docs, label_domains(table(spark, sf_dir, "labels")), WEIGHTS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

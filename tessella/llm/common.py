@@ -40,6 +40,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or with a number, so that no column of ``df`` has it, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for k in range(len(taken) + 1) if (n := f"{name}_{k}" if k else name).lower() not in taken)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: its cleaner acts when the driver's JVM collects garbage."""
     gc.collect()
