@@ -1,28 +1,39 @@
 """Substring dedup by collinear chaining of shared k-mer seeds.
 
 1. Seeds: winnowed word 5-grams, at least one in every run of ``WINDOW + K - 1`` words.
-2. Every seed value has one owner, the first document (and place) that has it.  A later document's seeds join their
-   owners, not each other, so a passage that many documents share costs a row for each of its places.
+2. Every seed value has one owner, the first document (and place) that has it.  A later document's seeds are matched to
+   their owners, not to each other, so a passage that many documents share costs a match for each of its places.
 3. The matches of a document are joined to diagonal segments and the segments are chained per owner: the best chain
    that ends in a segment is found in a Fenwick tree over the owner's positions, with a cost for every word skipped.
 4. Chains are aligned word by word: along diagonals, by edit distance in the gaps, by extension at the ends.  The
    parts of at least ``MIN_WORDS`` words whose share of equal words is at least ``IDENTITY`` are the passages.
-5. A passage's seeds may all be owned by documents that hold parts of it only.  So every run of ``MIN_WORDS`` words has
-   an owner too, and joins it: each such run that an earlier document has is in a passage, whoever owns its seeds.
-   Only regions are looked at whose seeds all occur in several documents; others have no such run.
+5. A passage's seeds may all be owned by documents that hold parts of it only.  So every run of ``MIN_WORDS`` words whose
+   seeds all have earlier owners, and that is in no exact passage found so far, has an owner too and joins it.  The first
+   document with such a run is in no such passage, so every later one finds it, whoever owns its seeds.
+
+Exchanges carry columns of numbers, packed per bucket of seeds or of documents.  A task packs up to ``CHUNK`` places at a
+time.  Where ``HOT`` or more of them have one seed, only those of the first document there go on, and the other documents
+are matched to it: a seed that a third of all documents have costs one place per chunk, not one per document.  (Which earlier
+document such a passage is matched to thus depends on how the table is split, but never whether it is found.)  Words go
+to the bucket that compares them, once for each bucket, so a document that many others repeat is spread over them.
 
 Words are as in ``words``, compared without ASCII case.  Null texts are empty.  Rows with a null doc_id and passages
-that repeat within one doc_id only are not reported.  Where a doc_id has several rows, all of them are looked at.
+that repeat within one doc_id only are not reported.  Where a doc_id has several texts, each is looked at for itself;
+repeated rows count once.
 """
 
 from __future__ import annotations
 
+import zlib
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, cut, map_arrow, release, runs, shared_dir, steps
+from .common import map_arrow, release, runs, shared_dir, steps, stored, unused
 from .words import Words, mix, ngrams
 
 K, WINDOW = 5, 12
@@ -33,46 +44,238 @@ BAD = -round(IDENTITY / (1 - IDENTITY), 9)
 MARGIN = 64
 #: Score lost for every word skipped in either text between two segments; longer skips than MAX_GAP end a chain.
 GAP_COST, MAX_GAP = 0.1, 40
-#: Owners' word ranges are widened to multiples of this, so that chains share them.
-PAGE = 32
+#: Places that a task packs at a time, and how many of one seed among them make it a hot one.
+CHUNK, HOT = 2_000_000, 64
+#: Text bytes per bucket of seeds or documents; beyond MANY buckets they grow up to the second figure.
+BUCKET_BYTES, MANY = (8_000_000, 160_000_000), 20_000
+#: Asking buckets whose requests to one document make one row.
+ASKERS = 4_096
+
+_SEED = ("<u8", "<u4", "<i4", "u1")  # key, row, place, hot
+_ROW = ("<i8", "<u4")  # doc_id, tag
+_MATCH = ("<i8", "<u4", "<i4", "<i8", "<u4", "<i4")  # doc_id, tag, place, and the same of the owner
+_SEGMENT = ("<u4", "<i8", "<u4", "<i8", "<u4", "<i4", "<i4", "<i4", "<i4")  # chain, doc_id, tag, owner, its tag, x0, x1, y0, y1
+_REGION = ("<i8", "<u4", "<i4", "<i4")  # doc_id, tag, from, to
+
+
+def pack(*tables: list[np.ndarray]) -> bytes:
+    """Tables of columns as compressed bytes; the bytes of a column lie by significance, as they repeat so."""
+    parts = []
+    for columns in tables:
+        n = len(columns[0])
+        parts.append(np.uint32(n).tobytes())
+        parts += [np.ascontiguousarray(c).view(np.uint8).reshape(n, c.dtype.itemsize).T.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpack(blob: bytes, *types: tuple[str, ...]) -> list[list[np.ndarray]]:
+    raw, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8), 0, []
+    for columns in types:
+        n = int(raw[at : at + 4].view("<u4")[0])
+        at += 4
+        table = []
+        for t in columns:
+            size = np.dtype(t).itemsize
+            table.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(t).ravel())
+            at += n * size
+        out.append(table)
+    return out
+
+
+def joined(tables: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*tables)]
+
+
+def tag_of(text: bytes) -> int:
+    """Tells the texts of one doc_id apart."""
+    return zlib.crc32(text)
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by the leading bits: sorted hashes have sorted buckets."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def doc_bucket(docs: np.ndarray, buckets: int) -> np.ndarray:
+    return bucket_of(mix(docs.astype(np.int64).view(np.uint64)), buckets)
+
+
+def _extreme(x: np.ndarray, n: int, of) -> np.ndarray:
+    """Least (or greatest) of every n consecutive values."""
+    width = 1
+    while 2 * width <= n:
+        x, width = of(x[:-width], x[width:]), 2 * width
+    return of(x[: len(x) - (n - width)], x[n - width :]) if n > width else x
+
+
+def winnowed(values: np.ndarray, owner: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Places of values that are the least of some window of one owner's consecutive values; of all it has, if fewer."""
+    n = len(values)
+    if not n:
+        return np.zeros(0, np.int64)
+    chosen = np.zeros(n, bool)
+    if n >= window:
+        least = np.where(owner[: n - window + 1] == owner[window - 1 :], _extreme(values, window, np.minimum), np.uint64(0))
+        none = np.zeros(window - 1, values.dtype)
+        chosen = _extreme(np.concatenate([none, least, none]), window, np.maximum) == values
+    first = np.flatnonzero(np.diff(owner, prepend=owner[0] - 1))
+    count = np.diff(np.append(first, n))
+    short = np.repeat(count < window, count)
+    if short.any():
+        chosen |= short & (values == np.repeat(np.minimum.reduceat(values, first), count))
+    return np.flatnonzero(chosen)
 
 
 def winnow(values: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Positions that hold the least value of some window of consecutive values; of all values if there are fewer."""
-    if len(values) <= window:
-        return np.flatnonzero(values == values.min()) if len(values) else np.zeros(0, np.int64)
-    least = np.lib.stride_tricks.sliding_window_view(values, window).min(axis=1)
-    padded = np.concatenate([np.zeros(window - 1, values.dtype), least, np.zeros(window - 1, values.dtype)])
-    most = np.lib.stride_tricks.sliding_window_view(padded, window).max(axis=1)
-    return np.flatnonzero(most == values)
+    return winnowed(values, np.zeros(len(values), np.int64), window)
 
 
-def _seeds(batches):
-    for batch in batches:
-        for part, texts in steps(batch, "text"):
-            words = Words([t.encode("utf-8", "surrogatepass").lower() for t in texts])
-            ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
-            seeds, docs, places = [], [], []
-            for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
-                if b - a < K:
-                    continue
-                grams = ngrams(words.hashes[a:b], K)
-                at = winnow(grams)
-                seeds.append(grams[at].view(np.int64))
-                places.append(at.astype(np.int32))
-                docs.append(np.full(len(at), ids[i], np.int64))
-            if seeds:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (seeds, docs, places)], names=["seed", "doc_id", "pos"])
+def seeds_of(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seed, text and place of all texts."""
+    text = np.repeat(np.arange(len(words)), np.diff(words.first))
+    inside = np.flatnonzero(text[: max(0, len(text) - K + 1)] == text[K - 1 :])
+    if not len(inside):
+        return np.zeros(0, np.uint64), inside, inside
+    grams, text = ngrams(words.hashes, K)[inside], text[inside]
+    at = winnowed(grams, text)
+    return grams[at], text[at], inside[at] - words.first[text[at]]
+
+
+_DEALT = pa.schema([("bucket", pa.int32()), ("matched", pa.bool_()), ("blob", pa.binary())])
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+
+def match_blobs(columns: list[np.ndarray], buckets: int) -> list[tuple[int, bool, bytes]]:
+    """Matches, packed by the bucket of their document."""
+    if not len(columns[0]):
+        return []
+    to = doc_bucket(columns[0], buckets)
+    order = np.lexsort((columns[2], columns[3], columns[1], columns[0], to))
+    to, columns = to[order], [c[order] for c in columns]
+    cuts = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to))
+    return [(int(to[a]), True, pack([c[a:b] for c in columns])) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+class Places:
+    """Places of keys, collected until there are many, then packed by bucket."""
+
+    def __init__(self, buckets: int):
+        self.buckets = buckets
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts: list[tuple] = []
+        self.rows: list[tuple] = []
+        self.size = self.n_rows = 0
+
+    def add(self, keys: np.ndarray, row: np.ndarray, place: np.ndarray, docs: np.ndarray, tags: np.ndarray) -> None:
+        """``row`` numbers the entries of ``docs`` and ``tags``."""
+        self.parts.append((keys, (row + self.n_rows).astype(np.uint32), place.astype(np.int32)))
+        self.rows.append((docs.astype(np.int64), tags.astype(np.uint32)))
+        self.size, self.n_rows = self.size + len(keys), self.n_rows + len(docs)
+
+    def take(self) -> list[tuple[int, bool, bytes]]:
+        """(bucket, False, places) by key and (bucket, True, matches) by document, and start anew."""
+        if not self.size:
+            return []
+        keys, row, place = joined(self.parts)
+        docs, tags = joined(self.rows)
+        self.clear()
+        rank = np.empty(len(docs), np.int64)
+        rank[np.lexsort((tags, docs))] = np.arange(len(docs))
+        order = np.argsort((rank[row] << 32) + place, kind="stable")
+        order = order[np.argsort(keys[order], kind="stable")]
+        keys, row, place = keys[order], row[order], place[order]
+        first = np.flatnonzero(np.diff(keys, prepend=~keys[0]))
+        count = np.diff(np.append(first, len(keys)))
+        hot = np.repeat(count >= HOT, count)
+        out = []
+        if hot.any():
+            lead = np.repeat(first, count)
+            later = hot & (docs[row] > docs[row[lead]])
+            own, of = row[later], row[lead[later]]
+            out = match_blobs([docs[own], tags[own], place[later], docs[of], tags[of], place[lead[later]]], self.buckets)
+            keys, row, place, hot = (c[~later] for c in (keys, row, place, hot))
+        bucket = bucket_of(keys, self.buckets)
+        cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            used, index = np.unique(row[a:b], return_inverse=True)
+            out.append((int(bucket[a]), False, pack([keys[a:b], index.astype(np.uint32), place[a:b], hot[a:b].view(np.uint8)], [docs[used], tags[used]])))
+        return out
+
+
+def _seeds(buckets: int):
+    def run(batches):
+        places = Places(buckets)
+        for batch in batches:
+            for part, texts in steps(batch, "text"):
+                raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+                ids = part.column(part.schema.get_field_index("doc_id")).to_numpy()
+                places.add(*seeds_of(Words(raw)), ids, np.array([tag_of(t) for t in raw], np.uint32))
+                if places.size >= CHUNK:
+                    yield _rows(places.take(), _DEALT)
+        if rest := places.take():
+            yield _rows(rest, _DEALT)
+
+    return run
+
+
+def _first_places(buckets: int):
+    """Matches of the keys of a bucket: every place of a later document, to the first place; and the first places
+    themselves where a key was hot, as then not all its matches are to them."""
+
+    def run(batches):
+        for group in runs(batches, ["bucket", "matched"]):
+            if group.column("matched")[0].as_py():
+                yield from group.to_batches()
+                continue
+            tables = []
+            for blob in group.column("blob").to_pylist():
+                (keys, row, place, hot), (docs, tags) = unpack(blob, _SEED, _ROW)
+                tables.append([keys, docs[row], tags[row], place, hot])
+            keys, docs, tags, place, hot = joined(tables)
+            order = np.argsort(keys, kind="stable")
+            keys, docs, tags, place, hot = (c[order] for c in (keys, docs, tags, place, hot))
+            first = np.flatnonzero(np.diff(keys, prepend=~keys[0]))
+            count = np.diff(np.append(first, len(keys)))
+            wanted = np.repeat((np.minimum.reduceat(docs, first) < np.maximum.reduceat(docs, first)) | (np.maximum.reduceat(hot, first) > 0), count)
+            keys, docs, tags, place, hot = (c[wanted] for c in (keys, docs, tags, place, hot))
+            if not len(keys):
+                continue
+            first = np.flatnonzero(np.diff(keys, prepend=~keys[0]))
+            count = np.diff(np.append(first, len(keys)))
+            owner = np.repeat(np.minimum.reduceat(docs, first), count)
+            code = np.where(docs == owner, (tags.astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64), ~np.uint64(0))
+            code = np.repeat(np.minimum.reduceat(code, first), count)
+            keep = (docs > owner) | (np.repeat(np.maximum.reduceat(hot, first), count) > 0)
+            code = code[keep]
+            rows = match_blobs([docs[keep], tags[keep], place[keep], owner[keep], (code >> np.uint64(32)).astype(np.uint32), (code & np.uint64(0xFFFFFFFF)).astype(np.int32)], buckets)
+            if rows:
+                yield _rows(rows, _DEALT)
+
+    return run
+
+
+def diagonals(doc: tuple[np.ndarray, ...], x: np.ndarray, y: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of matches by pair and diagonal, and the first and last of each run with steps of at most ``gap``.
+
+    ``doc``: columns that are equal within a pair.
+    """
+    order = np.lexsort((x, x - y, *doc[::-1]))
+    new = np.ones(len(x), bool)
+    if len(x):
+        new[1:] = np.any([np.diff(c[order].astype(np.int64)) != 0 for c in (*doc, x - y)], axis=0) | (np.diff(x[order]) > gap)
+    first = np.flatnonzero(new)
+    return order, first, np.append(first[1:], len(x))[: len(first)] - 1
 
 
 def segments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Matches, joined where neighbours on one diagonal are no further apart than MAX_GAP: rows x0, x1, y0, y1."""
-    order = np.lexsort((x, x - y))
+    order, first, last = diagonals((), x, y, MAX_GAP)
     x, y = x[order], y[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (np.diff(x - y) != 0) | (np.diff(x) > MAX_GAP)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(x)) - 1
     out = np.stack([x[first], x[last] + K, y[first], y[last] + K], axis=1)
     return out[np.lexsort((out[:, 2], out[:, 0]))]
 
@@ -106,16 +309,16 @@ def chains(parts: np.ndarray) -> list[list[int]]:
         return [[0]]
     ends = np.unique(parts[:, 3])
     tree = Fenwick(len(ends))
+    put, get = np.searchsorted(ends, parts[:, 3]).tolist(), np.searchsorted(ends, parts[:, 2], side="right").tolist()
     score, back = [0.0] * n, [-1] * n
     by_end = np.argsort(parts[:, 1], kind="stable")
-    waiting = 0
-    for j in range(n):
-        x0, x1, y0, y1 = parts[j].tolist()
-        while waiting < n and parts[by_end[waiting], 1] <= x0:
-            i = int(by_end[waiting])
-            tree.put(int(np.searchsorted(ends, parts[i, 3])), score[i] + GAP_COST * float(parts[i, 1] + parts[i, 3]), i)
+    waiting, rows, by_end = 0, parts.tolist(), by_end.tolist()
+    for j, (x0, x1, y0, _) in enumerate(rows):
+        while waiting < n and rows[by_end[waiting]][1] <= x0:
+            i = by_end[waiting]
+            tree.put(put[i], score[i] + GAP_COST * (rows[i][1] + rows[i][3]), i)
             waiting += 1
-        top, i = tree.get(int(np.searchsorted(ends, y0, side="right")))
+        top, i = tree.get(get[j])
         score[j] = float(x1 - x0)
         if i >= 0 and top - GAP_COST * (x0 + y0) > 0:
             score[j] += top - GAP_COST * (x0 + y0)
@@ -125,7 +328,7 @@ def chains(parts: np.ndarray) -> list[list[int]]:
         chain = []
         while j >= 0 and not used[j]:
             used[j] = True
-            if chain and (parts[chain[-1], 0] - parts[j, 1] > MAX_GAP or parts[chain[-1], 2] - parts[j, 3] > MAX_GAP):
+            if chain and (rows[chain[-1]][0] - rows[j][1] > MAX_GAP or rows[chain[-1]][2] - rows[j][3] > MAX_GAP):
                 out.append(chain[::-1])
                 chain = []
             chain.append(j)
@@ -135,94 +338,97 @@ def chains(parts: np.ndarray) -> list[list[int]]:
     return out
 
 
-def regions(x: np.ndarray) -> list[tuple[int, int]]:
-    """Word ranges around sorted places of shared seeds that have all exact passages in them, an unshared seed in none.
+def regions(doc: np.ndarray, tag: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
+    """Word ranges around places of matched seeds, sorted by text and place, that have all exact passages in them.
 
     The seeds of an exact passage are at most WINDOW apart, and its ends less than WINDOW + K words from the outer ones.
     """
-    first = np.flatnonzero(np.diff(x, prepend=-WINDOW - 1) > WINDOW)
-    last = np.append(first[1:], len(x)) - 1
+    new = np.ones(len(x), bool)
+    new[1:] = (np.diff(doc) != 0) | (np.diff(tag.astype(np.int64)) != 0) | (np.diff(x) > WINDOW)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(x))[: len(first)] - 1
     lo, hi = np.maximum(0, x[first] - WINDOW + 1), x[last] + K + WINDOW - 1
     long = hi - lo >= MIN_WORDS
-    return list(zip(lo[long].tolist(), hi[long].tolist()))
+    return [doc[first][long], tag[first][long], lo[long], hi[long]]
 
 
-_CHAIN = pa.schema([("doc_id", pa.int64()), ("owner", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("owner_lo", pa.int64()), ("owner_hi", pa.int64()), ("parts", pa.list_(pa.int64()))])
+def ranges(doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int, list[int], list[int]]]:
+    """The unions of the ranges of each text: doc_id, tag, and where they begin and end, in order."""
+    if not len(doc):
+        return []
+    order = np.lexsort((lo, tag, doc))
+    doc, tag, lo, hi = doc[order], tag[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+    text = np.cumsum((np.diff(doc, prepend=doc[0]) != 0) | (np.diff(tag.astype(np.int64), prepend=int(tag[0])) != 0)) << 40
+    reach = np.maximum.accumulate(text + hi)
+    new = np.ones(len(lo), bool)
+    new[1:] = (text + lo)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    ends = reach[np.append(first[1:], len(lo)) - 1] - text[first]
+    cuts = np.append(np.flatnonzero(np.diff(text[first], prepend=-1)), len(first))
+    return [(int(doc[first[a]]), int(tag[first[a]]), lo[first[a:b]].tolist(), ends[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+_ASKED = pa.schema([("bucket", pa.int32()), ("chains", pa.binary()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("los", pa.list_(pa.int32())), ("his", pa.list_(pa.int32()))])
 
 
 def _chained(batches):
-    rows: list[tuple] = []
-    for group in runs(batches, ["doc_id"]):
-        doc = group.column("doc_id")[0].as_py()
-        x = group.column("pos").to_numpy().astype(np.int64)
-        y, owner = group.column("owner_pos").to_numpy().astype(np.int64), group.column("owner").to_numpy()
-        order = np.argsort(x, kind="stable")
-        x, y, owner = x[order], y[order], owner[order]
-        rows += [(doc, None, lo, hi, None, None, None) for lo, hi in regions(x)]
+    """For each bucket its chains, and the words that it asks for."""
+    for group in runs(batches, ["bucket"]):
+        bucket = group.column("bucket")[0].as_py()
+        doc, tag, x, owner, owner_tag, y = joined([unpack(b, _MATCH)[0] for b in group.column("blob").to_pylist()])
+        order = np.lexsort((x, tag, doc))
+        around = regions(doc[order], tag[order], x[order])
         later = owner < doc
-        x, y, owner = x[later], y[later], owner[later]
-        for o in np.unique(owner):
-            parts = segments(x[owner == o], y[owner == o])
-            for chain in chains(parts):
-                own = parts[chain]
-                lo, hi = max(0, int(own[0, 0]) - MARGIN), int(own[-1, 1]) + MARGIN
-                owner_lo = max(0, int(own[0, 2]) - MARGIN) // PAGE * PAGE
-                owner_hi = -(-(int(own[-1, 3]) + MARGIN) // PAGE) * PAGE
-                rows.append((doc, int(o), lo, hi, owner_lo, owner_hi, own.ravel().tolist()))
-        if len(rows) >= 5_000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CHAIN.types)], schema=_CHAIN)
-            rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CHAIN.types)], schema=_CHAIN)
+        doc, tag, x, owner, owner_tag, y = (c[later] for c in (doc, tag, x, owner, owner_tag, y))
+        order, first, last = diagonals((doc, tag, owner, owner_tag), x, y, MAX_GAP)
+        pair = [c[order][first] for c in (doc, tag, owner, owner_tag)]
+        parts = np.stack([x[order][first], x[order][last] + K, y[order][first], y[order][last] + K], axis=1).astype(np.int64)
+        order = np.lexsort((parts[:, 2], parts[:, 0], *pair[::-1]))
+        pair, parts = [c[order] for c in pair], parts[order]
+        new = np.ones(len(parts), bool)
+        new[1:] = np.any([np.diff(c.astype(np.int64)) != 0 for c in pair], axis=0)[: len(parts)] if len(parts) else False
+        cuts = np.append(np.flatnonzero(new), len(parts))
+        chosen, sizes = [], []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b - a == 1:
+                chosen.append(a)
+                sizes.append(1)
+            else:
+                for chain in chains(parts[a:b]):
+                    chosen += [a + k for k in chain]
+                    sizes.append(len(chain))
+        sizes, chosen = np.array(sizes, np.int64), np.array(chosen, np.int64)
+        number = np.repeat(np.arange(len(sizes)), sizes)
+        pair, parts = [c[chosen] for c in pair], parts[chosen]
+        head = np.cumsum(sizes) - sizes
+        tail = head + sizes - 1
+        yield _rows([(bucket, pack([number.astype(np.uint32), *pair, *parts.astype(np.int32).T], [around[0], around[1], *(c.astype(np.int32) for c in around[2:])]), None, None, None, None)], _ASKED)
+        own = [pair[0][head], pair[1][head], np.maximum(0, parts[head, 0] - MARGIN), parts[tail, 1] + MARGIN]
+        others = [pair[2][head], pair[3][head], np.maximum(0, parts[head, 2] - MARGIN), parts[tail, 3] + MARGIN]
+        if asked := ranges(*map(np.concatenate, zip(own, others, around))):
+            yield _rows([(bucket, None, *r) for r in asked], _ASKED)
+
+
+_SLICES = pa.schema([("bucket", pa.int32()), ("chains", pa.binary()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("los", pa.list_(pa.int32())), ("his", pa.list_(pa.int32())), ("words", pa.binary())])
 
 
 def _slices(batches):
-    """Word hashes, four bytes each, of the word ranges that a document is asked for."""
+    """Word hashes, four bytes each, of the ranges that buckets ask a text for."""
     for batch in batches:
         for part, texts in steps(batch, "text"):
-            words = Words([t.encode("utf-8", "surrogatepass").lower() for t in texts])
+            raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+            words = Words(raw)
             ids = part.column(part.schema.get_field_index("doc_id")).to_pylist()
             asked = part.column(part.schema.get_field_index("asked")).to_pylist()
-            docs, los, his, whole, cells = [], [], [], [], []
+            rows = []
             for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
-                short = words.hashes[a:b].astype(np.uint32)
+                short, tag = words.hashes[a:b].astype(np.uint32), tag_of(raw[i])
                 for r in asked[i]:
-                    docs.append(ids[i])
-                    los.append(r["lo"])
-                    his.append(r["hi"])
-                    whole.append(r["region"])
-                    cells.append(short[r["lo"] : r["hi"]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(los, pa.int64()), pa.array(his, pa.int64()), pa.array(whole, pa.bool_()), pa.array(cells, pa.binary())], names=["doc_id", "lo", "hi", "region", "words"])
-
-
-def _grams(batches):
-    """Every run of ``MIN_WORDS`` words of the regions."""
-    for batch in batches:
-        ids, los = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("doc_id", "lo"))
-        words, at = binary_values(batch.column(batch.schema.get_field_index("words")), "<u4")
-        if len(words) < MIN_WORDS:
-            continue
-        row = np.repeat(np.arange(len(ids)), np.diff(at))
-        inside = np.flatnonzero(row[: len(row) - MIN_WORDS + 1] == row[MIN_WORDS - 1 :])
-        grams = ngrams(mix(words.astype(np.uint64)), MIN_WORDS)[inside]
-        row = row[inside]
-        yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(ids[row]), pa.array((los[row] + inside - at[row]).astype(np.int32))], names=["gram", "doc_id", "pos"])
-
-
-def _exact(batches):
-    """Consecutive runs with one owner, joined to passages."""
-    for group in runs(batches, ["doc_id"]):
-        doc = group.column("doc_id")[0].as_py()
-        x = group.column("pos").to_numpy().astype(np.int64)
-        y, owner = group.column("owner_pos").to_numpy().astype(np.int64), group.column("owner").to_numpy()
-        order = np.lexsort((x, x - y, owner))
-        x, y, owner = x[order], y[order], owner[order]
-        new = np.ones(len(x), bool)
-        new[1:] = (np.diff(owner) != 0) | (np.diff(x - y) != 0) | (np.diff(x) > 1)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(x)) - 1
-        columns = [np.full(len(first), doc), owner[first], x[first], x[last] + MIN_WORDS, y[first], y[last] + MIN_WORDS, x[last] + MIN_WORDS - x[first]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in _PASSAGE.split(", ")])
+                    if r["tag"] == tag:
+                        his = [min(h, len(short)) for h in r["his"]]
+                        rows.append((r["bucket"], None, ids[i], tag, r["los"], his, b"".join(short[lo:hi].tobytes() for lo, hi in zip(r["los"], his))))
+            if rows:
+                yield _rows(rows, _SLICES)
 
 
 def edits(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
@@ -250,12 +456,15 @@ def edits(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, int]:
     return stays, lonely
 
 
-def align(a: np.ndarray, b: np.ndarray, parts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """Passages in a (from, to, from and to in b, equal words); parts: the chain's segments in both."""
+def align(a: np.ndarray, b: np.ndarray, parts: np.ndarray) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]]]:
+    """Passages in a (from, to, from and to in b, equal words), and runs of MIN_WORDS words or more that b has as they are.
+
+    parts: the chain's segments in both.
+    """
     bad = BAD
     x0, y0, x1, y1 = int(parts[0, 0]), int(parts[0, 2]), int(parts[-1, 1]), int(parts[-1, 3])
     if x1 > len(a) or y1 > len(b):
-        return []
+        return [], []
     left, right = min(x0, y0), min(len(a) - x1, len(b) - y1)
     score, partner = [], []
 
@@ -280,22 +489,34 @@ def align(a: np.ndarray, b: np.ndarray, parts: np.ndarray) -> list[tuple[int, in
                 score.append(s)
                 partner.append(np.linspace(v1, q, len(s), endpoint=False).astype(np.int64))
     diagonal(x1, y1, right)
-    return passages(np.concatenate(score), np.concatenate(partner), x0 - left)
+    score, partner, at = np.concatenate(score), np.concatenate(partner), x0 - left
+    found = passages(score, partner, at)
+    # Only where the words themselves agree on one diagonal: the gaps' partners are approximate.
+    return found, exact_runs(a[at : at + len(partner)] == b[np.minimum(partner, len(b) - 1)], partner, at) if found else []
+
+
+def exact_runs(equal: np.ndarray, partner: np.ndarray, at: int) -> list[tuple[int, int]]:
+    edge = np.ones(len(equal) + 1, bool)
+    edge[1:-1] = (equal[1:] != equal[:-1]) | (np.diff(partner) != 1)
+    cuts = np.flatnonzero(edge)
+    return [(at + int(f), at + int(t)) for f, t in zip(cuts[:-1], cuts[1:]) if t - f >= MIN_WORDS and equal[f]]
 
 
-def align_one(a: np.ndarray, b: np.ndarray, x0: int, x1: int, y0: int, y1: int) -> list[tuple[int, int, int, int, int]]:
+def align_one(a: np.ndarray, b: np.ndarray, x0: int, x1: int, y0: int, y1: int) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int]]]:
     """``align`` for a chain of one segment, which most chains are."""
     left, right = min(x0, y0), min(len(a) - x1, len(b) - y1)
     if right < 0:
-        return []
+        return [], []
     equal = a[x0 - left : x1 + right] == b[y0 - left : y1 + right]
     n = len(equal)
     same = int(np.count_nonzero(equal))
     if same < IDENTITY * MIN_WORDS:
-        return []
+        return [], []
     if same == n:
-        return [(x0 - left, x1 + right, y0 - left, y1 + right, n)] if n >= MIN_WORDS else []
-    return passages(np.where(equal, 1.0, BAD), np.arange(y0 - left, y1 + right), x0 - left)
+        return ([(x0 - left, x1 + right, y0 - left, y1 + right, n)], [(x0 - left, x1 + right)]) if n >= MIN_WORDS else ([], [])
+    partner = np.arange(y0 - left, y1 + right)
+    found = passages(np.where(equal, 1.0, BAD), partner, x0 - left)
+    return found, exact_runs(equal, partner, x0 - left) if found else []
 
 
 def passages(s: np.ndarray, y: np.ndarray, at: int) -> list[tuple[int, int, int, int, int]]:
@@ -322,113 +543,166 @@ def passages(s: np.ndarray, y: np.ndarray, at: int) -> list[tuple[int, int, int,
     return sorted(out)
 
 
-_PASSAGE = "doc_id long, other_doc_id long, start_word long, end_word long, other_start_word long, other_end_word long, equal_words long"
-
-
-def _aligned(batches):
-    for batch in batches:
-        rows = []
-        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "owner", "lo", "owner_lo", "parts", "words", "owner_words")]
-        for doc, owner, lo, owner_lo, parts, words, owner_words in zip(*columns):
-            a, b = np.frombuffer(words, np.uint32), np.frombuffer(owner_words, np.uint32)
-            if len(parts) == 4:
-                found = align_one(a, b, parts[0] - lo, parts[1] - lo, parts[2] - owner_lo, parts[3] - owner_lo)
-            else:
-                found = align(a, b, np.array(parts).reshape(-1, 4) - np.array([lo, lo, owner_lo, owner_lo]))
-            rows += [(doc, owner, f + lo, t + lo, g + owner_lo, u + owner_lo, same) for f, t, g, u, same in found]
+_NUMBERS = ("doc_id", "tag", "other_doc_id", "other_tag", "start_word", "end_word", "other_start_word", "other_end_word", "equal_words")
+_FOUND = ", ".join(f"{n} long" for n in _NUMBERS)
+_ALIGNED = pa.schema([*((n, pa.int64()) for n in _NUMBERS), *_DEALT])
+
+
+def _aligned(buckets: int):
+    """Passages of the chains of a bucket, and the packed runs of words that are in none."""
+
+    def texts(group: pa.Table) -> dict:
+        out = {}
+        columns = (group.column(c).to_pylist() for c in ("doc_id", "tag", "los", "his", "words"))
+        for doc, tag, los, his, words in zip(*columns):
+            if words is not None:
+                starts = np.cumsum([0, *(h - lo for lo, h in zip(los, his))]).tolist()
+                out[doc, tag] = los, his, starts, np.frombuffer(words, "<u4")
+        return out
+
+    def part(text: tuple, lo: int, hi: int) -> np.ndarray:
+        """Words from lo, which some range has, to hi or the end of the text."""
+        los, his, starts, words = text
+        k = bisect_right(los, lo) - 1
+        return words[starts[k] + lo - los[k] : starts[k] + max(lo, min(hi, his[k])) - los[k]]
+
+    def run(batches):
+        grams = Places(buckets)
+        for group in runs(batches, ["bucket"]):
+            held, rows, exact = texts(group), [], {}
+            blobs = [c for c in group.column("chains").to_pylist() if c is not None]
+            for blob in blobs:
+                (number, doc, tag, owner, owner_tag, *ends), around = unpack(blob, _SEGMENT, _REGION)
+                parts = np.stack(ends, axis=1).astype(np.int64)
+                cuts = np.append(np.flatnonzero(np.diff(number.astype(np.int64), prepend=-1)), len(number)).tolist()
+                ids = list(zip(*(c[cuts[:-1]].tolist() for c in (doc, tag, owner, owner_tag))))
+                outer = parts.tolist()
+                for (d, t, o, ot), i, j in zip(ids, cuts[:-1], cuts[1:]):
+                    x0, x1, y0, y1 = outer[i][0], outer[j - 1][1], outer[i][2], outer[j - 1][3]
+                    lo, owner_lo = max(0, x0 - MARGIN), max(0, y0 - MARGIN)
+                    a, b = part(held[d, t], lo, x1 + MARGIN), part(held[o, ot], owner_lo, y1 + MARGIN)
+                    if j - i == 1:
+                        found, runs_ = align_one(a, b, x0 - lo, x1 - lo, y0 - owner_lo, y1 - owner_lo)
+                    else:
+                        found, runs_ = align(a, b, parts[i:j] - np.array([lo, lo, owner_lo, owner_lo]))
+                    rows += [(d, t, o, ot, f + lo, u + lo, g + owner_lo, v + owner_lo, same) for f, u, g, v, same in found]
+                    if runs_:
+                        exact.setdefault((d, t), []).extend((f + lo, u + lo) for f, u in runs_)
+                for d, t, lo, hi in zip(*(c.tolist() for c in around)):
+                    words = part(held[d, t], lo, hi)
+                    if len(words) < MIN_WORDS:
+                        continue
+                    open_ = np.ones(len(words) - MIN_WORDS + 1, bool)
+                    for f, u in exact.get((d, t), ()):
+                        open_[max(0, f - lo) : max(0, u - lo - MIN_WORDS + 1)] = False
+                    at = np.flatnonzero(open_)
+                    if len(at):
+                        grams.add(ngrams(mix(words.astype(np.uint64)), MIN_WORDS)[at], np.zeros(len(at), np.uint32), at + lo, np.array([d]), np.array([t]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows)), *(pa.nulls(len(rows), f.type) for f in _DEALT)], schema=_ALIGNED)
+            if grams.size >= CHUNK:
+                yield from dealt(grams.take())
+        yield from dealt(grams.take())
+
+    def dealt(rows: list[tuple]):
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=[x.split()[0] for x in _PASSAGE.split(", ")])
+            yield _rows([(*[None] * len(_NUMBERS), *r) for r in rows], _ALIGNED)
 
+    return run
 
-def _matches(places: DataFrame, key: str) -> DataFrame:
-    """Places (key, doc_id, pos) of the keys that several documents have, each with the key's first place."""
-    owners = (
-        places.groupBy(key)
-        .agg(F.min(F.struct(F.col("doc_id").alias("owner"), F.col("pos").alias("owner_pos"))).alias("first"), F.max("doc_id").alias("last"))
-        .where("first.owner < last")
-        .select(key, "first.owner", "first.owner_pos")
-    )
-    return places.join(owners, key).select("doc_id", "pos", "owner", "owner_pos")
 
+def _exact(batches):
+    """Consecutive runs of words with one owner, joined to passages."""
+    for group in runs(batches, ["bucket"]):
+        columns = joined([unpack(b, _MATCH)[0] for b in group.column("blob").to_pylist()])
+        columns = [c[columns[3] < columns[0]] for c in columns]
+        doc, tag, x, owner, owner_tag, y = (c.astype(np.int64) for c in columns)
+        order, first, last = diagonals((doc, tag, owner, owner_tag), x, y, 1)
+        first, last = order[first], order[last]
+        n = x[last] + MIN_WORDS - x[first]
+        found = (doc[first], tag[first], owner[first], owner_tag[first], x[first], x[first] + n, y[first], y[first] + n, n)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names=list(_NUMBERS))
 
-def _all_chains(docs: DataFrame) -> DataFrame:
-    """Chains, and regions as rows without an owner."""
-    matches = _matches(map_arrow(docs, _seeds, "seed long, doc_id long, pos int"), "seed")
-    return cut(map_arrow(matches.repartition("doc_id").sortWithinPartitions("doc_id"), _chained, "doc_id long, owner long, lo long, hi long, owner_lo long, owner_hi long, parts array<long>"))
 
+def _dealt(df: DataFrame, buckets: int, *order: str) -> DataFrame:
+    return df.repartition(min(buckets, MANY), "bucket").sortWithinPartitions("bucket", *order)
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """One row per passage that a document repeats from an earlier one (by doc_id), in word positions.
 
-    Columns: doc_id, other_doc_id (the earlier document), start_word, end_word, other_start_word, other_end_word (ends
-    are exclusive), equal_words.  A document may have several, also overlapping ones.  An empty table gives no rows.
-    """
+def _passages(docs: DataFrame) -> DataFrame:
+    """``repeated_passages`` with the tags of both texts."""
     spark = docs.sparkSession
     shared_dir(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    found = _all_chains(docs)
-    release(spark)
-    asked = (
-        found.select("doc_id", "lo", "hi", F.col("owner").isNull().alias("region"))
-        .union(found.where("owner is not null").select("owner", "owner_lo", "owner_hi", F.lit(False)))
-        .distinct()
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("lo", "hi", "region")).alias("asked"))
-    )
-    slices = map_arrow(docs.join(asked, "doc_id"), _slices, "doc_id long, lo long, hi long, region boolean, words binary")
-    slices = cut(slices)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets = int(max(1, min(size // BUCKET_BYTES[0], MANY), size // BUCKET_BYTES[1]))
+    dealt = "bucket int, matched boolean, blob binary"
+    matches = map_arrow(_dealt(map_arrow(docs, _seeds(buckets), dealt), buckets, "matched"), _first_places(buckets), dealt)
+    asked_type = "bucket int, chains binary, doc_id long, tag long, los array<int>, his array<int>"
+    found = stored(map_arrow(_dealt(matches.select("bucket", "blob"), buckets), _chained, asked_type), "chains")
     release(spark)
-    whole, slices = slices.where("region").select("doc_id", "lo", "words"), slices.where("not region").select("doc_id", "lo", "hi", "words")
-    owned = slices.select(F.col("doc_id").alias("owner"), F.col("lo").alias("owner_lo"), F.col("hi").alias("owner_hi"), F.col("words").alias("owner_words"))
-    both = found.join(owned, ["owner", "owner_lo", "owner_hi"]).join(slices, ["doc_id", "lo", "hi"])
-    aligned = cut(map_arrow(both.select("doc_id", "owner", "lo", "owner_lo", "parts", "words", "owner_words"), _aligned, _PASSAGE).distinct())
+    asked = found.where("chains is null").groupBy("doc_id", F.expr(f"bucket div {ASKERS}")).agg(F.collect_list(F.struct("tag", "bucket", "los", "his")).alias("asked"))
+    slices = map_arrow(docs.join(asked.select("doc_id", "asked"), "doc_id"), _slices, asked_type + ", words binary")
+    both = found.where("chains is not null").withColumn("words", F.lit(None).cast("binary")).unionByName(slices)
+    aligned = stored(map_arrow(_dealt(both, buckets), _aligned(buckets), f"{_FOUND}, {dealt}"), "passages")
     release(spark)
-    matches = _matches(map_arrow(whole, _grams, "gram long, doc_id long, pos int"), "gram").where("doc_id > owner")
-    exact = map_arrow(matches.repartition("doc_id").sortWithinPartitions("doc_id"), _exact, _PASSAGE).distinct().alias("e")
-    within = ("e.doc_id = a.doc_id and e.other_doc_id = a.other_doc_id and e.start_word >= a.start_word and e.end_word <= a.end_word"
-              " and e.other_start_word >= a.other_start_word and e.other_end_word <= a.other_end_word")
-    return aligned.unionByName(exact.join(aligned.alias("a"), F.expr(within), "left_anti"))
+    left = aligned.where("bucket is not null").select("bucket", "matched", "blob")
+    again = map_arrow(_dealt(left, buckets, "matched"), _first_places(buckets), dealt)
+    exact = map_arrow(_dealt(again.select("bucket", "blob"), buckets), _exact, _FOUND)
+    return aligned.where("bucket is null").select(*_NUMBERS).unionByName(exact)
 
 
-def _removed(batches):
-    for batch in batches:
-        for part, texts in steps(batch, "text"):
-            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-            words = Words([t.lower() for t in raw])
-            spans = part.column(part.schema.get_field_index("__spans")).to_pylist()
-            out = []
-            for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
-                if not spans[i]:
-                    out.append(part.column(part.schema.get_field_index("text"))[i].as_py())
-                    continue
-                start, end = words.start[a:b] - words.at[i], words.end[a:b] - words.at[i]
-                kept, at = [], 0
-                for s in sorted(spans[i], key=lambda r: (r["start_word"], r["end_word"])):
-                    lo, hi = s["start_word"], min(s["end_word"], b - a)
-                    if lo >= hi or end[hi - 1] <= at:
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """One row per passage that a document repeats from an earlier one (by doc_id), in word positions.
+
+    Columns: doc_id, other_doc_id (the earlier document), start_word, end_word, other_start_word, other_end_word (ends
+    are exclusive), equal_words.  A document may have several, also overlapping ones.  An empty table gives no rows.
+    """
+    return _passages(docs).drop("tag", "other_tag")
+
+
+def _removed(spans: str):
+    def run(batches):
+        for batch in batches:
+            for part, texts in steps(batch, "text"):
+                cut = part.column(part.schema.get_field_index(spans)).to_pylist()
+                out = part.column(part.schema.get_field_index("text")).to_pylist()
+                raw = [t.encode("utf-8", "surrogatepass") if c else b"" for t, c in zip(texts, cut)]
+                words = Words([t.lower() for t in raw])
+                keep = np.ones(len(out), bool)
+                for i, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
+                    own = tag_of(raw[i].lower()) if cut[i] else None
+                    taken = sorted((s["start_word"], s["end_word"]) for s in cut[i] or () if s["tag"] == own)
+                    if not taken:
                         continue
-                    kept.append(raw[i][at : max(at, start[lo])])
-                    at = int(end[hi - 1])
-                kept.append(raw[i][at:])
-                out.append(b"".join(kept).decode("utf-8", "surrogatepass"))
-            names = [n for n in part.schema.names if n != "__spans"]
-            columns = [pa.array(out, pa.string()) if n == "text" else part.column(part.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                    start, end = words.start[a:b] - words.at[i], words.end[a:b] - words.at[i]
+                    kept, at = [], 0
+                    for lo, hi in taken:
+                        hi = min(hi, b - a)
+                        if lo >= hi or end[hi - 1] <= at:
+                            continue
+                        kept.append(raw[i][at : max(at, start[lo])])
+                        at = int(end[hi - 1])
+                    kept.append(raw[i][at:])
+                    out[i] = b"".join(kept).decode("utf-8", "surrogatepass")
+                    keep[i] = any(c.isalnum() for c in out[i])
+                names = [n for n in part.schema.names if n != spans]
+                columns = {n: part.column(part.schema.get_field_index(n)) for n in names}
+                columns["text"] = pa.array(out, columns["text"].type)
+                if "n_chars" in columns:
+                    lengths = [len(t) if c and t is not None else n for t, c, n in zip(out, cut, columns["n_chars"].to_pylist())]
+                    columns["n_chars"] = pa.array(lengths, columns["n_chars"].type)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=names).filter(pa.array(keep))
+
+    return run
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The documents without the passages that they repeat from earlier ones; n_chars, if there, follows the text.
 
-    Documents of which no letter or digit is left are dropped, if a passage was taken out of them.  Nulls and all
-    other columns are kept.
+    Each text of a doc_id loses the passages found in it alone.  Documents of which no letter or digit is left are
+    dropped, if a passage was taken out of them.  Nulls and all other columns, whatever their names, are kept.
     """
-    from pyspark.sql.types import StringType
-
-    spans = repeated_passages(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("__spans"))
-    schema = docs.schema
-    out = docs.join(spans, "doc_id", "left").select(*docs.columns, "__spans")
-    assert isinstance(schema["text"].dataType, StringType)
-    touched = out.where("__spans is not null").mapInArrow(_removed, schema)
-    if "n_chars" in docs.columns:
-        touched = touched.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
-    return out.where("__spans is null").drop("__spans").unionByName(touched.where(F.col("text").rlike("[\\p{L}\\p{N}]")).select(*docs.columns))
+    own, key = unused(docs, "spans"), unused(docs, "of")
+    spans = _passages(docs).groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("tag", "start_word", "end_word")).alias(own))
+    out = docs.join(spans, F.col("doc_id") == F.col(key), "left").select(*docs.columns, own)
+    return out.mapInArrow(_removed(own), docs.schema)

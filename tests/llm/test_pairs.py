@@ -6,8 +6,10 @@ from hashlib import sha256
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tessella.llm import substring_dedup as s
 from tessella.llm.common import components
 from tessella.llm.fingerprint import Sketches, compare, differences, edited, fingerprints, paragraphs
 from tessella.llm.jaccard_join import jaccard_classes, least_matches, without_near_copies
@@ -257,6 +259,84 @@ def test_removal(spark):
     assert repeated_passages(twice).count() == 0
 
 
+def test_texts_of_one_id_lose_their_own_passages(spark):
+    rng = random.Random(26)
+    a, c = text(rng, 100, 10**6), text(rng, 100, 10**6)
+    docs = frame(spark, [(1, a), (2, f"{a} {text(rng, 5)}"), (2, c), (2, c), (3, f"{c} end")]).selectExpr("*", "1 as __spans", "2 as spans", "3 as of")
+    out = [(r["doc_id"], r["text"]) for r in without_repeats(docs).collect()]
+    assert without_repeats(docs).columns == docs.columns
+    assert [t for i, t in out if i == 1] == [a] and sorted(len(t.split()) for i, t in out if i == 2) == [5, 100, 100]
+    assert [t.split() for i, t in out if i == 3] == [["end"]]
+
+
+def test_pieces_of_several_origins(spark):
+    """Two pieces of 45 words, first seen in two documents, then together in two others."""
+    rng = random.Random(27)
+    rows = []
+    for i in range(0, 240, 4):
+        one, two = text(rng, 45, 10**6), text(rng, 45, 10**6)
+        rows += [(i + k, f"{text(rng, 20, 10**6)} {t} {text(rng, 20, 10**6)}") for k, t in enumerate((one, two, f"{one} {two}", f"{one} {two}"))]
+    found = {(r["doc_id"], r["other_doc_id"], r["start_word"], r["end_word"]) for r in passages_of(spark, rows)}
+    assert {(i + 3, i + 2, 20, 110) for i in range(0, 240, 4)} <= found
+
+
+def locally(rows, buckets=3, at_a_time=40):
+    """The operator's steps without Spark; ``at_a_time`` rows to a task."""
+    docs = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
+
+    def table(batches, schema=None):
+        batches = list(batches)
+        return pa.Table.from_batches(batches, None if batches else schema)
+
+    def run(step, t, *keys, schema=s._DEALT):
+        return table(step(iter(t.sort_by([(k, "ascending") for k in keys]).to_batches())), schema)
+
+    def matches(dealt):
+        return run(s._first_places(buckets), dealt, "bucket", "matched")
+
+    found = run(s._chained, matches(pa.concat_tables([table(s._seeds(buckets)(iter(docs.slice(k, at_a_time).to_batches()))) for k in range(0, len(docs), at_a_time)])), "bucket")
+    asked = {}
+    for r in found.to_pylist():
+        if r["chains"] is None:
+            asked.setdefault(r["doc_id"], []).append(r)
+    docs = docs.append_column("asked", pa.array([asked.get(i, []) for i in docs["doc_id"].to_pylist()], pa.list_(pa.struct(list(s._ASKED)))))
+    chained = found.filter(found["chains"].is_valid())
+    both = pa.concat_tables([chained.append_column("words", pa.nulls(len(chained), pa.binary())), table(s._slices(iter(docs.to_batches())))])
+    aligned = run(s._aligned(buckets), both, "bucket")
+    grams = aligned.filter(aligned["bucket"].is_valid()).select(["bucket", "matched", "blob"])
+    exact = run(s._exact, matches(grams), "bucket")
+    return aligned.filter(aligned["bucket"].is_null()).to_pylist() + exact.to_pylist()
+
+
+@pytest.mark.parametrize("hot", [2, 3, 10, 10**6])
+def test_hot_seeds_lose_no_passage(monkeypatch, hot):
+    monkeypatch.setattr(s, "HOT", hot)
+    rng = random.Random(28)
+    one, two, three = (text(rng, n, 10**6) for n in (30, 30, 70))
+    kinds = [one, two, f"{one} {two}", three, f"{one} {three}", ""]
+    rows = [(i, f"{text(rng, rng.randint(5, 60), 10**6)} {rng.choice(kinds)} {text(rng, 20, 10**6)}") for i in range(150)]
+    words = {i: t.split() for i, t in rows}
+    found, seen = locally(rows), {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - 49):
+            g = tuple(words[i][k : k + 50])
+            if seen.setdefault(g, i) != i:
+                assert any(r["doc_id"] == i and r["start_word"] <= k and r["end_word"] >= k + 50 for r in found)
+    for r in found:
+        assert words[r["doc_id"]][r["start_word"] : r["end_word"]] == words[r["other_doc_id"]][r["other_start_word"] : r["other_end_word"]] and r["other_doc_id"] < r["doc_id"]
+
+
+def test_seeds_of_many_texts_are_those_of_each():
+    rng = random.Random(29)
+    texts = [text(rng, n).encode() for n in (0, 1, 4, 5, 6, 16, 17, 40, 300, 3, 90)]
+    seeds, of, place = s.seeds_of(Words(texts))
+    for i, t in enumerate(texts):
+        h = Words([t]).hashes
+        grams = ngrams(h, 5) if len(h) >= 5 else h[:0]
+        at = [k for k in range(len(grams)) if any(min(grams[j : j + 12]) == grams[k] for j in range(max(0, k - 11), max(1, min(k + 1, len(grams) - 11))))]
+        assert place[of == i].tolist() == at and seeds[of == i].tolist() == grams[at].tolist()
+
+
 def test_fingerprints(spark):
     rng = random.Random(10)
     rows = [(i, "\n".join(text(rng, rng.randint(1, 40)) for _ in range(rng.randint(1, 30)))) for i in range(40)]
