@@ -230,7 +230,7 @@ def _first_places(buckets: int):
     def run(batches):
         for group in runs(batches, ["bucket", "matched"]):
             if group.column("matched")[0].as_py():
-                yield from group.to_batches()
+                yield _rows(list(zip(*(group.column(n).to_pylist() for n in _DEALT.names))), _DEALT)
                 continue
             tables = []
             for blob in group.column("blob").to_pylist():
