@@ -93,3 +93,29 @@ def voxel_code(coords: Sequence[str | Column], bits: int = 3) -> Column:
     for c in coords:
         code = F.shiftleft(code, bits).bitwiseOR(_col(c).cast("bigint").bitwiseAND(F.lit((1 << bits) - 1).cast("bigint")))
     return code
+
+
+_HALF = (1 << 32) - 1
+
+
+def _low(x: Column, bits: int) -> Column:
+    return x.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+
+
+def _high(x: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(x, bits)
+
+
+def wrapping_add(a: Column, b: Column) -> Column:
+    """a + b modulo 2**64, where Spark's own sum is an error beyond 63 bits."""
+    low = _low(a, 32) + _low(b, 32)
+    return F.shiftleft(_high(a, 32) + _high(b, 32) + _high(low, 32), 32).bitwiseOR(_low(low, 32))
+
+
+def wrapping_multiply(a: Column, factor: int) -> Column:
+    """a * factor modulo 2**64: products of 16 and 32 bits, which fit, moved to their places."""
+    low, high = F.lit(factor & _HALF).cast("bigint"), F.lit(factor >> 32 & _HALF).cast("bigint")
+    whole = wrapping_add(_low(a, 16) * low, F.shiftleft(_low(_high(a, 16), 16) * low, 16))
+    cross = _low(_high(a, 32), 16) * low + F.shiftleft(_low(_high(a, 48) * low, 16), 16)
+    cross = cross + _low(a, 16) * high + F.shiftleft(_low(_low(_high(a, 16), 16) * high, 16), 16)
+    return wrapping_add(whole, F.shiftleft(cross, 32))

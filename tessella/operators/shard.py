@@ -19,6 +19,14 @@ from tessella.plans.geometry import ArrayPlan
 EMPTY = 0xFFFFFFFFFFFFFFFF
 
 
+def _rows(table: np.ndarray, n: int) -> np.ndarray:
+    """Tables for 0 to n - 1 further bytes of zeros behind a byte: a checksum of n bytes is the sum of their entries."""
+    out = [table]
+    for _ in range(n - 1):
+        out.append(table[out[-1] & 0xFF] ^ (out[-1] >> np.uint32(8)))
+    return np.stack(out)
+
+
 def _table() -> np.ndarray:
     t = np.arange(256, dtype=np.uint32)
     for _ in range(8):
@@ -26,13 +34,20 @@ def _table() -> np.ndarray:
     return t
 
 
-_CRC = [int(x) for x in _table()]
+_SLICE = 256
+_CRC = _rows(_table(), _SLICE)
 
 
 def crc32c(data: bytes) -> int:
-    c = 0xFFFFFFFF
-    for b in data:
-        c = _CRC[(c ^ b) & 0xFF] ^ (c >> 8)
+    """CRC-32C: the checksum so far goes into the first four bytes of a slice, whose bytes are then looked up at once."""
+    x, c = np.frombuffer(data, np.uint8), 0xFFFFFFFF
+    for lo in range(0, len(x), _SLICE):
+        part = x[lo : lo + _SLICE].copy()
+        n = len(part)
+        head = np.frombuffer(struct.pack("<I", c), np.uint8)[: min(4, n)]
+        part[: len(head)] ^= head
+        rest = c >> 8 * n if n < 4 else 0
+        c = int(np.bitwise_xor.reduce(_CRC[np.arange(n - 1, -1, -1), part])) ^ rest
     return c ^ 0xFFFFFFFF
 
 

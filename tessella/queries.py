@@ -6,7 +6,6 @@ stream in epochs of 100; ``embeddings`` is (vec, 64); ``lineitem`` gives volume,
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -21,8 +20,8 @@ from tessella.operators.fold import all_levels, emits, fold, fold_level
 from tessella.operators.packed import packed_pyramid
 from tessella.operators.pyramid import pyramid, reduce_level
 from tessella.operators.tile import placed, tile, untile
-from tessella.plans.geometry import ArrayPlan
-from tessella.plans.spec import FOLDERS, REDUCERS, ArraySpec, Codec, Dim
+from tessella.plans.geometry import ArrayPlan, inverse_permutation, strides
+from tessella.plans.spec import FOLDERS, REDUCERS, ArraySpec, Codec, Dim, align_up, ceil_log2, ceildiv, dtype, next_pow2
 from tessella.sources import metadata, synthetic
 
 Y, X = 20, 25
@@ -49,7 +48,8 @@ def orders(spark: SparkSession, sf_dir: str, spec: ArraySpec | None = None) -> D
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessella-")
+    """A new folder that all executors share: below ``spark.checkpoint.dir`` or, where that is unset, the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -409,9 +409,20 @@ def src_ramp(spark, sf_dir):
     return synthetic.ramp(spark, 100_000)
 
 
-@query()
+_BIG = 1 << 64
+
+
+def _mixed(shift: int, factor: int) -> str:
+    return f"CAST(CAST(xor(z, z >> {shift}) AS UHUGEINT) * {factor} % {_BIG} AS UBIGINT)"
+
+
+@query(
+    f"""WITH s AS (SELECT i, CAST((CAST({0xDEADBEEFCAFEBABE} AS UHUGEINT) + (CAST(i % 7000 AS UHUGEINT) + 1) * CAST({0x9E3779B97F4A7C15} AS UHUGEINT)) % CAST({_BIG} AS UHUGEINT) AS UBIGINT) AS z FROM range(10000) t(i)),
+a AS (SELECT i, {_mixed(30, 0xBF58476D1CE4E5B9)} AS z FROM s), b AS (SELECT i, {_mixed(27, 0x94D049BB133111EB)} AS z FROM a)
+SELECT i AS idx, CAST(xor(z, z >> 31) & 4095 AS BIGINT) AS value FROM b"""
+)
 def src_noise(spark, sf_dir):
-    return synthetic.noise(spark, 10_000)
+    return synthetic.noise(spark, 10_000, period=7_000)
 
 
 @query("SELECT 'e' AS array_id, event_id // 50 AS a, event_id % 50 AS b, CAST(event_id % 1000 AS INTEGER) AS value FROM events UNION ALL SELECT 'o', o_orderkey // 20, o_orderkey % 20, CAST(o_orderkey % 777 AS INTEGER) FROM orders")
@@ -461,22 +472,216 @@ def str_complete_epochs(spark, sf_dir):
     return complete_epochs(read(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), F.col("value")), ArraySpec((Dim("e", 0, 100, 1),), dtype="f64"))
 
 
+def _streamed(spark: SparkSession, parts: list[DataFrame], folder: str, make) -> None:
+    """Feed parts, one after the other, to a stream that starts anew for each with what its state folder has."""
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{folder}/in/{k}")
+        rows = spark.readStream.schema(part.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        make().start(rows, f"{folder}/checkpoint").awaitTermination()
+
+
 @query(f"WITH {_CELLS} SELECT t, y, x, CAST(v AS INTEGER) AS value FROM c")
 def str_append(spark, sf_dir):
-    """Append orders from a stream of files to a store, finish it, read it back."""
+    """Append orders to a store from a stream that starts anew and sends many rows again; finish it, read it back."""
     from tessella.sources.store import read_array
     from tessella.streaming.append import AppendStream
 
     spec, path = orders_spec(codec=Codec("zstd", 1)), shared_folder(spark, "stream")
-    schema = read(spark, sf_dir, "orders").schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/orders.parquet*")
-    rows = source.select(F.col("o_orderkey").alias("idx"), F.col("o_totalprice").cast("bigint").alias("value"))
-    stream = AppendStream(spark, spec, f"{path}/store", f"{path}/state")
-    stream.start(rows, f"{path}/checkpoint").awaitTermination()
-    stream.finish()
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_totalprice").cast("bigint").alias("value"))
+    _streamed(spark, [rows.where("idx % 3 <> 0"), rows.where("idx % 3 = 0 OR idx % 5 = 0")], path, lambda: AppendStream(spark, spec, f"{path}/store", f"{path}/state"))
+    AppendStream(spark, spec, f"{path}/store", f"{path}/state").finish()
     return read_array(spark, f"{path}/store", "0/0").select("t", "y", "x", "value")
 
 
+@query(
+    """SELECT CAST(1 AS BIGINT) AS array_id, event_id // 50 AS a, event_id % 50 AS b, CAST(event_id % 1000 AS INTEGER) AS value FROM events
+UNION ALL SELECT 2, o_orderkey // 20, o_orderkey % 20, CAST(o_orderkey % 777 AS INTEGER) FROM orders"""
+)
+def str_multi_array(spark, sf_dir):
+    """Two arrays in one stream, each finished in its own store."""
+    from tessella.sources.store import read_array
+    from tessella.streaming.append import MultiAppendStream
+
+    path = shared_folder(spark, "multi")
+    e = read(spark, sf_dir, "events").select(F.lit(1).cast("bigint").alias("array_id"), F.col("event_id").alias("idx"), (F.col("event_id") % 1000).alias("value"))
+    o = read(spark, sf_dir, "orders").select(F.lit(2).cast("bigint").alias("array_id"), F.col("o_orderkey").alias("idx"), (F.col("o_orderkey") % 777).alias("value"))
+    specs = {1: ArraySpec((Dim("a", 0, 10, 4), Dim("b", 50, 10, 5)), dtype="i32", fill=-1, name="x"), 2: ArraySpec((Dim("a", 0, 10, 4), Dim("b", 20, 10, 2)), dtype="i32", fill=-1, name="x")}
+    rows = e.unionByName(o)
+    _streamed(spark, [rows.where("idx % 2 = 0"), rows.where("idx % 2 = 1")], path, lambda: MultiAppendStream(spark, specs, f"{path}/store", f"{path}/state"))
+    MultiAppendStream(spark, specs, f"{path}/store", f"{path}/state").finish()
+    parts = [read_array(spark, f"{path}/store/{i}", "x/0").where("value >= 0").select(F.lit(i).cast("bigint").alias("array_id"), "a", "b", "value") for i in specs]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT w.w AS writer, i AS idx, CAST(xor(i // 40, i % 40) AS INTEGER) AS value FROM range(4000) t(i), (VALUES (0), (1)) w(w)")
+def src_interleaved(spark, sf_dir):
+    """Two streams pumped in turns into two stores."""
+    from tessella.sources.store import read_array
+    from tessella.streaming.append import AppendStream
+
+    path, spec = shared_folder(spark, "two"), ArraySpec((Dim("t", 0, 10, 2), Dim("x", 40, 20, 2)), dtype="i32", name="a")
+    rows, streams = synthetic.xor(spark, spec, 4_000), [AppendStream(spark, spec, f"{path}/{w}", f"{path}/state-{w}") for w in (0, 1)]
+    for k in range(2):
+        for stream in streams:
+            stream.batch(rows.where(ix.idiv("idx", 2_000) == k), k)
+    for stream in streams:
+        stream.finish()
+    parts = [read_array(spark, f"{path}/{w}", "a/0").select(F.lit(w).alias("writer"), (F.col("t") * 40 + F.col("x")).alias("idx"), "value") for w in (0, 1)]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT t, x, CAST(max(v) AS INTEGER) AS value FROM (SELECT o_orderkey // 50 // 2 AS t, o_orderkey % 50 AS x, CAST(trunc(o_totalprice) AS BIGINT) AS v FROM orders) GROUP BY ALL HAVING count(*) = 2")
+def str_fold(spark, sf_dir):
+    """Epochs of a stream folded in pairs; a pair comes out once both of its epochs are there."""
+    from tessella.streaming.append import complete_folds
+
+    spec, path = ArraySpec((Dim("t", 0, 1, 1, True), Dim("x", 50, 25, downsample=True)), dtype="i32", append_reduce="max"), shared_folder(spark, "fold")
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_totalprice").cast("bigint").alias("value"))
+    for k in range(2):
+        ce.cells(rows, spec).where(F.col("t") % 2 == k).coalesce(1).write.parquet(f"{path}/in/{k}")
+    schema = spark.read.parquet(f"{path}/in/0").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+    done = complete_folds(stream, spec, 1)
+    done.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/out/{n}")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(done.schema).option("recursiveFileLookup", "true").parquet(f"{path}/out").select("t", "x", "value")
+
+
+@query(f"WITH {_CELLS} SELECT t, y, x, CAST(v AS INTEGER) AS value FROM c WHERE t < 12")
+def snk_stream(spark, sf_dir):
+    """Shards written by the streaming sink, then read as an array."""
+    from tessella.sources.store import FORMAT, encoded_levels, objects, read_array, register, write_metadata
+
+    register(spark)
+    plan, path = ArrayPlan(orders_spec(codec=Codec("zstd", 1), name="s")), shared_folder(spark, "sink")
+    made = objects(encoded_levels(orders(spark, sf_dir).where("t < 12").select(F.lit(0).alias("level"), "*"), plan), plan, 12)
+    made.write.parquet(f"{path}/in")
+    stream = spark.readStream.schema(made.schema).parquet(f"{path}/in")
+    stream.writeStream.format(FORMAT).option("path", f"{path}/store").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    write_metadata(f"{path}/store", plan, 12)
+    return read_array(spark, f"{path}/store", "s/0", missing="skip").join(orders(spark, sf_dir).select("t", "y", "x"), ["t", "y", "x"]).select("t", "y", "x", "value")
+
+
+# Element types, folds of wide types, empty chunks, checksums and plans.
+
+_HELD = {"u8": ("SMALLINT", 251), "i8": ("TINYINT", 127), "u16": ("INTEGER", 60_000), "i16": ("SMALLINT", 32_000), "u32": ("BIGINT", 4_000_000_000), "i64": ("BIGINT", 1 << 50), "u64": ("BIGINT", 1 << 60), "f32": ("FLOAT", 1_000), "f64": ("DOUBLE", 1 << 40)}
+
+
+def _typed(of: str):
+    kind, top = _HELD[of]
+    mean = "sum(v) / count(*)" if of[0] == "f" else "sum(v) // count(*)"
+
+    def run(spark, sf_dir):
+        spec = orders_spec(dims=(Dim("t", 0, 2, 2), YD, XD))
+        spec = ArraySpec(spec.dims, dtype=of, reduce="mean")
+        value = F.expr(f"CAST((o_orderkey * 7919L) % {top}L AS {'decimal(20,0)' if of == 'u64' else 'double' if of[0] == 'f' else 'bigint'})")
+        out = reduce_level(ce.cells(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), value.alias("value")), spec), ArrayPlan(spec))
+        return out.withColumn("value", F.col("value").cast("bigint")) if of == "u64" else out
+
+    source = f"(o_orderkey * 7919) % {top}"
+    query(
+        f"""WITH c AS (SELECT o_orderkey // {Y * X} AS t, o_orderkey // {X} % {Y} // 2 AS y, o_orderkey % {X} // 2 AS x, CAST({source} AS {'DOUBLE' if of[0] == 'f' else 'HUGEINT'}) AS v FROM orders)
+SELECT t, y, x, CAST({mean} AS {kind}) AS value FROM c GROUP BY ALL""",
+        f"lod_mean_{of}",
+    )(run)
+
+
+for _of in _HELD:
+    _typed(_of)
+
+
+def _folded(of: str, kind: str, mean: str):
+    def run(spark, sf_dir):
+        spec = ArraySpec((Dim("t", 0, 2, 2, downsample=True), Dim("y", Y, 5, 2), XD), dtype=of, append_reduce="mean")
+        rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_totalprice").cast("bigint").cast("double" if of[0] == "f" else "bigint").alias("value"))
+        return fold_level(ce.cells(rows, spec), ArrayPlan(spec), 1)
+
+    query(f"WITH {_CELLS} SELECT t // 4 * 2 + t % 2 AS t, y, x, CAST({mean} AS {kind}) AS value FROM c GROUP BY t // 4 * 2 + t % 2, y, x", f"fld_mean_{of}")(run)
+
+
+_folded("f64", "DOUBLE", "sum(v) / count(*)")
+_folded("i64", "BIGINT", "sum(v) // count(*)")
+
+
+@query("SELECT o_custkey % 40 AS shard, o_orderkey AS slot, n AS nbytes, CAST(sum(n) OVER (PARTITION BY o_custkey % 40 ORDER BY o_orderkey) - n AS BIGINT) AS at FROM (SELECT *, o_orderkey % 5 * 100 AS n FROM orders) WHERE n > 0")
+def prj_empty_chunks(spark, sf_dir):
+    """Chunks of no bytes take no place in a shard."""
+    rows = read(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("shard"), F.col("o_orderkey").alias("slot"), (F.col("o_orderkey") % 5 * 100).alias("nbytes"))
+    return sh.with_offsets(rows).select("shard", "slot", "nbytes", F.col("offset").alias("at"))
+
+
+#: Published check values of CRC-32C.
+_CRC = {"313233343536373839": 0xE3069283, "00" * 32: 0x8A9136AA, "ff" * 32: 0x62A8AB43, bytes(range(32)).hex(): 0x46DD794E, bytes(range(31, -1, -1)).hex(): 0x113FDB5C, "": 0}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({v} AS BIGINT))" for k, v in _CRC.items()) + ") v(bytes, crc)")
+def shd_crc32c(spark, sf_dir):
+    return spark.createDataFrame([(k, sh.crc32c(bytes.fromhex(k))) for k in _CRC], "bytes string, crc bigint")
+
+
+@query("SELECT a, b, (a + b - 1) // b AS ceildiv, (a + b - 1) // b * b AS aligned, CAST(ceil(log2(a)) AS BIGINT) AS log2, CAST(2 ** ceil(log2(a)) AS BIGINT) AS pow2 FROM range(1, 200) t(a), (VALUES (1), (3), (16), (100)) u(b)")
+def pln_rounding(spark, sf_dir):
+    rows = [(a, b, ceildiv(a, b), align_up(a, b), ceil_log2(a), next_pow2(a)) for a in range(1, 200) for b in (1, 3, 16, 100)]
+    return spark.createDataFrame(rows, "a bigint, b int, ceildiv bigint, aligned bigint, log2 bigint, pow2 bigint")
+
+
+_SHAPES = ((4, 5, 6), (7, 1, 3), (2, 2, 2), (10, 20, 30))
+
+
+@query("SELECT a, b, c, b * c AS s0, c AS s1, CAST(1 AS BIGINT) AS s2 FROM (VALUES " + ", ".join(str(x) for x in _SHAPES) + ") v(a, b, c)")
+def pln_strides(spark, sf_dir):
+    return spark.createDataFrame([(*x, *strides(list(x))) for x in _SHAPES], "a int, b int, c int, s0 int, s1 int, s2 bigint")
+
+
+@query("WITH p AS (SELECT a, b, c FROM range(3) x(a), range(3) y(b), range(3) z(c) WHERE a <> b AND b <> c AND a <> c) SELECT a, b, c, list_position([a, b, c], 0) - 1 AS i0, list_position([a, b, c], 1) - 1 AS i1, list_position([a, b, c], 2) - 1 AS i2 FROM p")
+def pln_inverse_permutation(spark, sf_dir):
+    from itertools import permutations
+
+    return spark.createDataFrame([(*p, *inverse_permutation(list(p))) for p in permutations(range(3))], "a bigint, b bigint, c bigint, i0 int, i1 int, i2 int")
+
+
+@query(
+    """WITH d AS (SELECT * FROM (VALUES ('t', 0, 2), ('y', 20, 5), ('x', 25, 5)) v(name, size, chunk)), l AS (SELECT CAST(range AS BIGINT) AS frames FROM range(0, 40))
+SELECT frames, name, CASE WHEN name = 't' THEN frames ELSE size END AS size, (CASE WHEN name = 't' THEN frames ELSE size END + chunk - 1) // chunk AS chunks, ((CASE WHEN name = 't' THEN frames ELSE size END + chunk - 1) // chunk + 1) // 2 AS shards FROM d, l WHERE frames > 0"""
+)
+def pln_extents(spark, sf_dir):
+    """Extents, chunks and shards of an array as it grows."""
+    plan = ArrayPlan(orders_spec())
+    rows = [(n, e.name, e.size, e.chunk_count, e.shard_count) for n in range(1, 40) for e in plan.extents(0, n)]
+    return spark.createDataFrame(rows, "frames bigint, name string, size bigint, chunks bigint, shards bigint")
+
+
+@query("SELECT n AS elements, n // 500 AS frames, n // 1000 * 2 AS whole FROM range(0, 20000, 37) t(n)")
+def pln_append_sizes(spark, sf_dir):
+    """Extent of the append dimension at the end of a stream, and after its whole chunks."""
+    plan = ArrayPlan(orders_spec())
+    rows = [(n, plan.append_sizes_final(n)[0], plan.append_sizes_midway(n // 1000)[0]) for n in range(0, 20000, 37)]
+    return spark.createDataFrame(rows, "elements bigint, frames bigint, whole bigint")
+
+
+@query("SELECT name, nbytes, integral, least, most FROM (VALUES ('u8', 1, true, 0, 255), ('u16', 2, true, 0, 65535), ('i8', 1, true, -128, 127), ('i16', 2, true, -32768, 32767), ('i32', 4, true, -2147483648, 2147483647), ('u32', 4, true, 0, 4294967295)) v(name, nbytes, integral, least, most)")
+def pln_types(spark, sf_dir):
+    names = ("u8", "u16", "i8", "i16", "i32", "u32")
+    rows = [(d.name, d.nbytes, d.integral, *d.bounds) for d in map(dtype, names)]
+    return spark.createDataFrame(rows, "name string, nbytes int, integral boolean, least bigint, most bigint")
+
+
+@query(
+    """SELECT * FROM (VALUES ('zarr.json', 'group', ''), ('plate/zarr.json', 'group', ''), ('plate/w/zarr.json', 'group', ''),
+('plate/w/0/zarr.json', 'array', '6, 20, 25'), ('plate/w/1/zarr.json', 'array', '6, 10, 13'), ('plate/w/2/zarr.json', 'array', '6, 5, 7'), ('plate/w/3/zarr.json', 'array', '6, 3, 4')) v(path, kind, shape)"""
+)
+def snk_documents(spark, sf_dir):
+    """Groups and arrays of a store, as its metadata documents tell them."""
+    from tessella.sources.store import write_metadata
+
+    path, plan = shared_folder(spark, "documents"), ArrayPlan(orders_spec(name="plate/w"))
+    names = write_metadata(path, plan, 6)
+    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.col("value"), F.input_file_name().alias("file"))
+    doc = F.from_json("value", "node_type string, shape array<int>")
+    assert len(names) == plan.levels + 3
+    base = F.regexp_replace("file", "^.*?documents-[0-9a-f]+/", "")
+    return files.select(base.alias("path"), doc["node_type"].alias("kind"), F.coalesce(F.array_join(doc["shape"].cast("array<string>"), ", "), F.lit("")).alias("shape"))
+
+
 # Volume.
 
 
