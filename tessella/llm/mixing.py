@@ -1,10 +1,11 @@
 """Soft-membership mixing to target weights, in DataFrame operations only.
 
-1. A naive Bayes classifier over words learns the domains of a labelled table and gives every document a posterior.
-   A word's likelihood in a domain is taken against all domains, and drawn to 1 while the word is rare: (count + SMOOTHING)
-   / (count expected + SMOOTHING).  A document's evidence is the mean log likelihood of its known words, times k * s / (k + s) for k known words: words
-   count in full while they are few, and no more than s in all.  s is fitted by the likelihood of labelled documents that
-   the words were not counted in, so posteriors of long documents stay calibrated.
+1. A classifier over words learns the domains of a labelled table and gives every document a posterior.  Words are
+   counted in one half of the labelled documents: a word speaks for a domain by the logarithm of (count + SMOOTHING) /
+   (count that the other domains let expect + SMOOTHING), less LEAST, so words of a language or a topic, which only lean to a domain, say nothing.  A
+   document has two numbers for each domain: the mean of what its words say and a share that nears 1 with their sum.  A
+   multinomial regression on these numbers, fitted to the other half of the labelled documents, gives the posteriors;
+   they are calibrated, and a document whose words say nothing has those of such documents.
 2. Every document gets a rate r >= 0 (how often its tokens are taken).  The expected tokens of domain d are
    sum(r * n_tokens * p[d]), and the rates fit them to the targets by least squares.  The gradient of the squared miss
    moves a document's rate by a combination of its posteriors alone, so the steps taken so far are one slope for every
@@ -14,7 +15,7 @@
    slopes makes the fit unique where the targets cannot be met; then the miss is the least one.
 
 Rows of one doc_id (also of a null doc_id) are one document: their words add up and they share one rate.  Null and
-wordless texts have 0 tokens and the prior as posterior.  Labels with a null, or with a domain without a target, are
+wordless texts have 0 tokens and the posterior of documents whose words say nothing.  Labels with a null, or with a domain without a target, are
 ignored; with no labels at all the posterior is uniform and all rates are equal.  An empty table gives no rows.
 """
 
@@ -32,11 +33,8 @@ from .common import stored, unused
 
 #: Labelled documents that the classifier learns from, for each domain, and the size of its vocabulary.
 PER_DOMAIN, VOCABULARY = 1_500, 8_192
-#: Of eight parts of the labelled documents, those that words are counted in; the others fit the evidence.
-COUNTED, SMOOTHING = 6, 5.0
-EVIDENCE = tuple(2.0**k for k in range(13))
-#: Share of labels that may say anything; it keeps wrong labels from deciding the evidence.
-SLIP = 0.05
+#: Logarithm of how much more likely a word must be in a domain to say something, and the sum at which a share is a half.
+SMOOTHING, LEAST, HALF = 5.0, math.log(3), 4.0
 TOLERANCE, RIDGE = 1e-7, 1e-9
 #: ``mixed`` trades a miss of this share of the tokens for one unit of slope.
 SOFT = 1e-3
@@ -51,71 +49,100 @@ def _words(text: str = "text") -> Column:
 
 @dataclass
 class DomainModel:
-    """``weights``: 64-bit hash of a word and the log likelihood of each domain, at most VOCABULARY rows."""
+    """``weights``: 64-bit hash of a word and what it says for each domain, at most VOCABULARY rows.
+
+    ``factors``: a row for each domain, its constant and the factors of all domains' means and shares.
+    """
 
     domains: list[str]
-    prior: list[float]
+    factors: np.ndarray
     weights: DataFrame | None
-    evidence: float = 1.0
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> DomainModel:
     """Learn from docs (doc_id, text) and labelled (doc_id, domain).
 
-    The driver gets counts per domain only; the vocabulary, of proven size, stays a DataFrame that can be broadcast.
+    The driver gets counts per domain, and the numbers of about half of the labelled documents, which PER_DOMAIN bounds;
+    the vocabulary, of proven size, stays a DataFrame that can be broadcast.
     """
+    d = range(len(domains))
     known = labelled.select("doc_id", "domain").where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
     counts = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    every = sum(counts.values())
-    prior = [(counts.get(d, 0) + 1) / (every + len(domains)) for d in domains]
-    if not every:
-        return DomainModel(domains, [1 / len(domains)] * len(domains), None)
-    share = F.create_map(*[x for d, n in counts.items() for x in (F.lit(d), F.lit(int(1e6 * min(1.0, PER_DOMAIN / n)) + 1))])
+    if not counts:
+        return DomainModel(domains, np.zeros((len(domains), 1 + 2 * len(domains))), None)
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(1e6 * min(1.0, PER_DOMAIN / n)) + 1))])
     picked = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1_000_000)) < share[F.col("domain")]).distinct()
     # About PER_DOMAIN rows of two values for each domain, whatever the corpus: they are broadcast, and no text is shuffled.
     texts = stored(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), "mix-labelled")
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("part")), F.lit(8))
-    words = texts.where(part < COUNTED).select("domain", F.explode(_words()).alias("word")).where("word <> ''").select("domain", F.xxhash64("word").alias("word"))
-    seen = words.groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(f"n{i}") for i, d in enumerate(domains)])
-    counted = stored(seen, "mix-words")
-    total = " + ".join(f"n{i}" for i in range(len(domains)))
-    sums = counted.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(domains))]).first()
+    first = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("half")), F.lit(2)) == 0
+    words = texts.where(first).select("domain", F.explode(_words()).alias("word")).where("word <> ''").select("domain", F.xxhash64("word").alias("word"))
+    counted = stored(words.groupBy("word").agg(*[F.count_if(F.col("domain") == k).alias(f"n{i}") for i, k in enumerate(domains)]), "mix-words")
+    total = " + ".join(f"n{i}" for i in d)
+    sums = counted.agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in d]).first()
+    whole = max(1, sum(sums[f"n{i}"] or 0 for i in d))
     top = counted.orderBy(F.expr(total).desc(), "word").limit(VOCABULARY)
-    whole = max(1, sum(sums[f"n{i}"] or 0 for i in range(len(domains))))
-    logs = [F.log((F.col(f"n{i}") + SMOOTHING) / (F.expr(total) * ((sums[f"n{i}"] or 0) / whole) + SMOOTHING)).alias(f"l{i}") for i in range(len(domains))]
-    model = DomainModel(domains, prior, stored(top.select("word", *logs), "mix-weights"))
-    tuned = texts.where(part >= COUNTED)
-    own = tuned.select("doc_id", "domain").distinct()
-    scored = stored(_evidence(tuned, model).join(own, "doc_id"), "mix-tuned")
-    place = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("int")
-    losses = scored.agg(*[F.sum(-F.log((1 - SLIP) * F.element_at(_softmax(model, s), place) + SLIP / len(domains))).alias(f"s{k}") for k, s in enumerate(EVIDENCE)]).first()
-    if losses["s0"] is not None:
-        model.evidence = EVIDENCE[min(range(len(EVIDENCE)), key=lambda k: losses[f"s{k}"])]
+    # Counts that the other domains let expect.
+    odds = [(sums[f"n{i}"] or 0) / max(1, whole - (sums[f"n{i}"] or 0)) for i in d]
+    says = [F.log((F.col(f"n{i}") + SMOOTHING) / ((F.expr(total) - F.col(f"n{i}")) * odds[i] + SMOOTHING)) for i in d]
+    model = DomainModel(domains, np.zeros((len(domains), 1 + 2 * len(domains))), stored(top.select("word", *[F.greatest(x - LEAST, F.lit(0.0)).alias(f"l{i}") for i, x in enumerate(says)]), "mix-weights"))
+    rest = texts.where(~first)
+    got = _evidence(rest, model).join(rest.select("doc_id", "domain").distinct(), "doc_id").select("domain", F.array(*_numbers(len(domains))).alias("x")).collect()
+    # Documents rarer than one in share count for more, so the posteriors are those of the whole labelled table.
+    weight = np.array([max(1.0, counts[r["domain"]] / PER_DOMAIN) for r in got])
+    model.factors = _regression(np.array([r["x"] for r in got]).reshape(len(got), 2 * len(domains)), np.array([domains.index(r["domain"]) for r in got], int), weight, [counts.get(k, 0) for k in domains])
     return model
 
 
+def _regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, counts: list[int], rounds: int = 400, penalty: float = 1e-3) -> np.ndarray:
+    """Multinomial regression by accelerated gradient steps; starts at the shares of the domains."""
+    prior = np.log((np.array(counts, float) + 1) / (sum(counts) + len(counts)))
+    out = np.zeros((len(counts), 1 + x.shape[1]))
+    out[:, 0] = prior
+    if not len(x):
+        return out
+    scale = np.append(1.0, x.std(axis=0) + 1e-6)
+    full = np.hstack([np.ones((len(x), 1)), x]) / scale
+    weight, wanted = weight / weight.sum(), np.eye(len(counts))[y]
+    size = 1 / (0.5 * float(np.linalg.eigvalsh((full * weight[:, None]).T @ full)[-1]) + penalty)
+    now = look = out * scale
+    now[:, 0] = look[:, 0] = prior
+    for k in range(rounds):
+        z = full @ look.T
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        slope = ((p - wanted) * weight[:, None]).T @ full
+        slope[:, 1:] += penalty * look[:, 1:]
+        after = look - size * slope
+        look = after + k / (k + 3) * (after - now)
+        now = after
+    return now / scale
+
+
 def _evidence(docs: DataFrame, model: DomainModel) -> DataFrame:
-    """doc_id, n_tokens, known (words of the vocabulary) and the sums l of their log likelihoods."""
+    """doc_id, n_tokens, known (words of the vocabulary) and the sums l of what they say."""
     d = range(len(model.domains))
     words = docs.select("doc_id", F.explode_outer(_words()).alias("word")).select("doc_id", (F.col("word") != "").alias("counts"), F.xxhash64("word").alias("word"))
     if model.weights is not None:
         words = words.join(F.broadcast(model.weights), "word", "left")
     else:
         words = words.select("*", *[F.lit(None).cast("double").alias(f"l{i}") for i in d])
-    return words.groupBy("doc_id").agg(F.count_if("counts").alias("n_tokens"), F.count("l0").alias("known"), *[F.sum(f"l{i}").alias(f"l{i}") for i in d])
+    return words.groupBy("doc_id").agg(F.count_if("counts").alias("n_tokens"), F.count("l0").alias("known"), *[F.coalesce(F.sum(f"l{i}"), F.lit(0.0)).alias(f"l{i}") for i in d])
 
 
-def _softmax(model: DomainModel, evidence: float) -> Column:
-    """The posterior of a row of ``_evidence``."""
-    scale = F.lit(evidence) / (F.col("known") + evidence)
-    logits = F.array(*[F.lit(math.log(model.prior[i])) + scale * F.coalesce(f"l{i}", F.lit(0.0)) for i in range(len(model.domains))])
-    raised = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda s, y: s + y))
+def _numbers(domains: int) -> list[Column]:
+    """The numbers of a row of ``_evidence``: means, then shares."""
+    sums = [F.col(f"l{i}") for i in range(domains)]
+    return [s / (F.col("known") + 1) for s in sums] + [s / (s + HALF) for s in sums]
 
 
 def posteriors(docs: DataFrame, model: DomainModel) -> DataFrame:
     """doc_id, n_tokens, p (one value for each domain, sum 1) of every document."""
-    return _evidence(docs, model).select("doc_id", "n_tokens", _softmax(model, model.evidence).alias("p"))
+    numbers = _numbers(len(model.domains))
+    logits = [sum((x * float(w) for x, w in zip(numbers, row[1:])), F.lit(float(row[0]))) for row in model.factors]
+    out = _evidence(docs, model).select("doc_id", "n_tokens", F.array(*logits).alias("z"))
+    out = out.select("doc_id", "n_tokens", F.transform("z", lambda z: F.exp(z - F.array_max("z"))).alias("e"))
+    out = out.withColumn("sum", F.aggregate("e", F.lit(0.0), lambda a, b: a + b))
+    return out.select("doc_id", "n_tokens", F.transform("e", lambda e: e / F.col("sum")).alias("p"))
 
 
 @dataclass
