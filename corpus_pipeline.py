@@ -8,10 +8,12 @@ packing (bins of several lengths).  All but the last return the columns of ``doc
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import shared_dir, table
+from tessella.llm.common import discard, mark, release, shared_dir, table
 from tessella.llm.jaccard_join import without_near_copies
 from tessella.llm.language_id import fit_language_model, identified, trainable
 from tessella.llm.mixing import WEIGHTS, label_domains, mixed
@@ -19,26 +21,55 @@ from tessella.llm.packing import pack, word_counts
 from tessella.llm.substring_dedup import without_repeats
 
 
+#: Intermediate tables of the last stage, as marks.
+_held: list[tuple[int, int]] = []
+
+
+def _let_go(spark: SparkSession) -> None:
+    while _held:
+        discard(spark, *_held.pop())
+    release(spark)
+
+
+def _stage(function: Callable) -> Callable:
+    """A stage begins when its predecessor's result has been written, so it lets go of that one's intermediate tables."""
+
+    @wraps(function)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _let_go(spark)
+        since = mark()
+        out = function(spark, docs, sf_dir)
+        _held.append((since, mark()))
+        return out
+
+    return begun
+
+
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; the model learns from those that are not held out."""
     return identified(docs, fit_language_model(trainable(docs)))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: word 5-grams, Jaccard similarity of 0.8 or more."""
     return without_near_copies(docs)
 
 
+@_stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages of 50 words or more that they repeat from earlier ones."""
     return without_repeats(docs)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The largest mix without repeats that has the target shares of the domains of ``labels``."""
     return mixed(docs, label_domains(table(spark, sf_dir, "labels")), WEIGHTS)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of a document, with its bin."""
     return pack(word_counts(docs))
@@ -64,4 +95,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+    _let_go(spark)
     return docs

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,30 +15,46 @@ from pyspark.sql import functions as F
 STEP_BYTES = 1_000_000
 
 
+#: Folders of intermediate tables, in the order in which they were written.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one made for this session where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` or, where that is unset, one in the warehouse.
+
+    The latter goes when the session's JVM ends.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="shared-")
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared-{uuid.uuid4().hex}"
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
         spark.conf.set("spark.checkpoint.dir", path)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends in the shared folder, and Spark removes the files when the plan is gone."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Write to Parquet in the shared folder and read back: the rows are computed once and survive lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _written.append(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point in the list of intermediate tables, for ``discard``."""
+    return len(_written)
+
+
+def discard(spark: SparkSession, since: int, until: int | None = None) -> None:
+    """Delete the intermediate tables written between two marks; nothing may read them any more."""
+    for path in _written[since:until]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or with a number, so that no column of ``df`` has it, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
@@ -105,17 +120,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Every round each node points to the least of itself and its neighbours; pointers are doubled until they reach
     their roots, and the edges are contracted to the roots, without loops and copies.  Stars and ordered paths vanish in
-    one round, and a path of n nodes takes log2(n) doublings.  All state is distributed and checkpointed to the shared
-    folder; the driver only learns whether something is left to do.  Null
+    one round, and a path of n nodes takes log2(n) doublings.  All state is distributed and written to the shared
+    folder, where only the last labels stay; the driver only learns whether something is left to do.  Null
     ends are ignored; an empty edge list gives no rows.
     """
-    live = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b"))).distinct())
+    spark, since = edges.sparkSession, mark()
+    live = stored(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("a") != F.col("b"))).distinct())
     labels = None
     while True:
-        up = cut(live.union(live.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up")))
+        up = stored(live.union(live.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")).select("node", F.least("node", "up").alias("up")))
         while True:
             far = up.select(F.col("node").alias("up"), F.col("up").alias("far"))
-            jumped = cut(up.join(far, "up", "left").select("node", "up", F.coalesce("far", "up").alias("far")))
+            jumped = stored(up.join(far, "up", "left").select("node", "up", F.coalesce("far", "up").alias("far")))
             up = jumped.select("node", F.col("far").alias("up"))
             if jumped.where("far <> up").isEmpty():
                 break
@@ -123,11 +139,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             labels = up.withColumnRenamed("up", "label")
         else:
             moved = labels.join(up.withColumnRenamed("node", "label"), "label", "left")
-            labels = cut(moved.select("node", F.coalesce("up", "label").alias("label")))
+            labels = moved.select("node", F.coalesce("up", "label").alias("label"))
         one, two = up.toDF("a", "x"), up.toDF("b", "y")
-        live = cut(live.join(one, "a").join(two, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        live = stored(live.join(one, "a").join(two, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        end = mark()
+        labels = stored(labels)
         if live.isEmpty():
+            discard(spark, since, end)
             return labels
+        # Only the edges and labels that the next round reads stay.
+        discard(spark, since, end - 1)
+        since = end - 1
 
 
 def flat(column: pa.Array | pa.ChunkedArray) -> pa.Array:

@@ -1,8 +1,9 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Texts that share one shingle set form a class; only one representative of a class goes further.  Representatives
-that agree in a MinHash band are joined into candidate clusters, and each cluster is cut into blocks of bounded
-size.  A task holds two blocks: it compares the MinHash values of its pairs a few at a time, drops a pair as soon as
+that agree in a MinHash band are joined into candidate clusters.  A cluster is compared as a whole or, where that takes
+fewer rows (as in long chains of texts that are hardly similar), band bucket by band bucket; a pair then counts in the
+first bucket that it shares.  Clusters and buckets are cut into blocks of bounded size.  A task holds two blocks: it compares the MinHash values of its pairs a few at a time, drops a pair as soon as
 the posterior probability of reaching the threshold falls below the tolerance, and verifies what is left on the exact
 shingle sets.  No pair becomes a row: a task returns link counts and one edge to a root for each linked set.
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, components, cut, map_arrow, runs, shared_dir, steps, stored
+from .common import binary_values, components, map_arrow, runs, shared_dir, steps, stored, unused
 from .words import Words, mix, ngrams
 
 N, THRESHOLD = 5, 0.8
@@ -163,8 +164,8 @@ def _with_shingles(n: int):
                 sets = shingle_sets(texts, n)
                 wanted = part.column(part.schema.get_field_index("set_id")).to_pylist()
                 keep = [k for k, s in enumerate(sets) if len(s) and digest(s) == wanted[k]]
-                rest = [part.column(part.schema.get_field_index(c)).take(pa.array(keep, pa.int64())) for c in ("cluster", "set_id", "copies", "blocks")]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array([sets[k].tobytes() for k in keep], pa.binary())], names=["cluster", "set_id", "copies", "blocks", "shingles"])
+                rest = [part.column(part.schema.get_field_index(c)).take(pa.array(keep, pa.int64())) for c in ("units", "set_id", "copies")]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array([sets[k].tobytes() for k in keep], pa.binary())], names=["units", "set_id", "copies", "shingles"])
 
     return run
 
@@ -188,6 +189,11 @@ def _links(threshold: float, tolerance: float):
             i, j = left[i], right[j]
         linked = exact_links(values, offsets, i, j, threshold)
         i, j = i[linked], j[linked]
+        if group.column("key")[0].is_valid:
+            keys = band_keys(sig)
+            same = keys[i] == keys[j]
+            here = keys[i, same.argmax(axis=1)] == group.column("key")[0].as_py()
+            i, j = i[here], j[here]
         count = np.bincount(i, copies[j], m) + np.bincount(j, copies[i], m)
         root = np.arange(m)
         while True:
@@ -205,7 +211,7 @@ def _links(threshold: float, tolerance: float):
 
     def run(batches):
         a, b, c = [], [], []
-        for group in runs(batches, ["cluster", "p", "q"]):
+        for group in runs(batches, ["cluster", "key", "p", "q"]):
             for into, got in zip((a, b, c), task(group)):
                 into += got
             if len(a) >= 10_000:
@@ -216,48 +222,64 @@ def _links(threshold: float, tolerance: float):
     return run
 
 
-def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+def _blocks(shingles: str, sets: str):
+    return F.greatest(F.ceil(F.col(shingles) / BLOCK_SHINGLES), F.ceil(F.col(sets) / BLOCK_SETS)).cast("long")
+
+
+def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, by_bucket: float = 1.0) -> DataFrame:
     """One row per document: doc_id, class_id, n_links (documents that it is linked to), n_shingles.
 
+    ``by_bucket``: weight of a row of a band bucket against one of a whole cluster; the result does not depend on it.
     ``docs`` needs doc_id and text; other columns, whatever their names, are ignored.  Empty tables give no rows.
     """
-    return _labelled(docs, n, threshold, tolerance).select("doc_id", "class_id", "n_links", "n_shingles")
+    return _labelled(docs, n, threshold, tolerance, by_bucket).select("doc_id", "class_id", "n_links", "n_shingles")
 
 
-def _labelled(docs: DataFrame, n: int, threshold: float, tolerance: float) -> DataFrame:
+def _labelled(docs: DataFrame, n: int, threshold: float, tolerance: float, by_bucket: float = 1.0) -> DataFrame:
     """``jaccard_classes`` with the set_id of every row and the label of its class, null where there are no words."""
     spark = docs.sparkSession
     shared_dir(spark)
     docs = docs.select("doc_id", "text")
     features = stored(map_arrow(docs, _features(n), "doc_id long, set_id binary, n_shingles long, bands array<long>"), "shingle-bands")
     known = features.where("set_id is not null and doc_id is not null")
-    sets = cut(
+    sets = stored(
         known.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     )
-    keys = sets.select("set_id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("set_id").alias("least"), F.count("*").alias("sets")).where("sets > 1").select("key", "least")
-    edges = keys.join(shared, "key").where("set_id <> least").select(F.col("set_id").alias("a"), F.col("least").alias("b"))
+    keys = sets.select("set_id", "n_shingles", F.explode("bands").alias("key"))
+    shared = stored(
+        keys.groupBy("key").agg(F.min("set_id").alias("least"), F.count("*").alias("sets"), F.sum("n_shingles").alias("shingles")).where("sets > 1").withColumn("blocks", _blocks("shingles", "sets")),
+        "buckets",
+    )
+    edges = keys.join(shared.select("key", "least"), "key").where("set_id <> least").select(F.col("set_id").alias("a"), F.col("least").alias("b"))
     clusters = components(edges)
 
-    members = cut(clusters.join(sets.select(F.col("set_id").alias("node"), "rep", "copies", "n_shingles"), "node").select(F.col("node").alias("set_id"), F.col("label").alias("cluster"), "rep", "copies", "n_shingles"))
+    members = stored(clusters.join(sets.select(F.col("set_id").alias("node"), "rep", "copies", "n_shingles", "bands"), "node").withColumnsRenamed({"node": "set_id", "label": "cluster"}))
+    # What a cluster costs as a whole and by its buckets: rows, that is sets times the blocks they meet.
+    whole = members.groupBy("cluster").agg(F.sum("n_shingles").alias("shingles"), F.count("*").alias("sets")).withColumn("blocks", _blocks("shingles", "sets"))
+    apart = shared.join(clusters.withColumnRenamed("node", "least"), "least").groupBy(F.col("label").alias("cluster")).agg(F.sum(F.col("sets") * F.col("blocks")).alias("rows"))
     # Its own table, so that the join below deals both sides anew and a large cluster's rows can be split.
-    blocks = cut(
-        members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).cast("long").alias("blocks"))
-    )
-    wanted = members.join(blocks, "cluster").select(F.col("rep").alias("doc_id"), "set_id", "cluster", "copies", "blocks")
+    plans = stored(whole.join(apart, "cluster").select("cluster", "blocks", (F.col("rows") * by_bucket < F.col("sets") * F.col("blocks")).alias("by_bucket")))
+    planned = members.join(plans, "cluster").select("rep", "set_id", "copies", "cluster", "blocks", "by_bucket", "bands")
+    unit = F.struct("cluster", F.lit(None).cast("long").alias("key"), "blocks")
+    one = planned.where("not by_bucket").select("rep", "set_id", "copies", F.array(unit).alias("units"))
+    spread = planned.where("by_bucket").select("rep", "set_id", "copies", "cluster", F.explode("bands").alias("key")).join(shared.select("key", "blocks"), "key")
+    # At most one unit for every band.
+    several = spread.groupBy("rep", "set_id", "copies").agg(F.collect_list(F.struct("cluster", "key", "blocks")).alias("units"))
     loaded = map_arrow(
-        docs.join(wanted, "doc_id").select("text", "cluster", "set_id", "copies", "blocks"),
+        docs.join(one.unionByName(several).withColumnRenamed("rep", "doc_id"), "doc_id").select("text", "units", "set_id", "copies"),
         _with_shingles(n),
-        "cluster binary, set_id binary, copies long, blocks long, shingles binary",
+        "units array<struct<cluster:binary,key:bigint,blocks:bigint>>, set_id binary, copies long, shingles binary",
     )
     pairs = (
-        loaded.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
+        loaded.select(F.explode("units").alias("unit"), "set_id", "copies", "shingles")
+        .select("unit.*", "set_id", "copies", "shingles")
+        .withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "set_id", "copies", "shingles")
-        .repartition("cluster", "p", "q")
-        .sortWithinPartitions("cluster", "p", "q")
+        .select("cluster", "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "set_id", "copies", "shingles")
+        .repartition("cluster", "key", "p", "q")
+        .sortWithinPartitions("cluster", "key", "p", "q")
     )
-    links = cut(map_arrow(pairs, _links(threshold, tolerance), "set_id binary, root binary, links long"))
+    links = stored(map_arrow(pairs, _links(threshold, tolerance), "set_id binary, root binary, links long"))
     linked = components(links.where("set_id <> root").select(F.col("set_id").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("set_id").agg(F.sum("links").alias("links"))
     labelled = (
@@ -278,18 +300,18 @@ def _labelled(docs: DataFrame, n: int, threshold: float, tolerance: float) -> Da
     )
 
 
-def _of_sets(n: int):
-    """The rows whose set is among ``__sets``, or that have no words, with the set as ``__set``."""
+def _of_sets(n: int, sets_: str, set_: str):
+    """The rows whose set is among ``sets_``, or that have no words, with the set as ``set_``."""
 
     def run(batches):
         for batch in batches:
             for part, texts in steps(batch, "text"):
                 digests = [digest(s) if len(s) else None for s in shingle_sets(texts, n)]
-                wanted = part.column(part.schema.get_field_index("__sets")).to_pylist()
+                wanted = part.column(part.schema.get_field_index(sets_)).to_pylist()
                 keep = pa.array([k for k, d in enumerate(digests) if d is None or d in (wanted[k] or [])], pa.int64())
-                names = [c for c in part.schema.names if c != "__sets"]
+                names = [c for c in part.schema.names if c != sets_]
                 columns = [part.column(part.schema.get_field_index(c)).take(keep) for c in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary()).take(keep)], names=[*names, "__set"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(digests, pa.binary()).take(keep)], names=[*names, set_])
 
     return run
 
@@ -298,19 +320,20 @@ def without_near_copies(docs: DataFrame, n: int = N, threshold: float = THRESHOL
     """The documents, one of each class: a row with the class's least doc_id, of several such rows the first by set and text.
 
     Where a doc_id has several rows, each goes by the class of its own text.  Rows without words stay, but for copies
-    within one doc_id.  Rows whose doc_id is null stay.  All columns are kept as they are.
+    within one doc_id.  Rows whose doc_id is null stay.  All columns, whatever their names, are kept as they are.
     """
     from pyspark.sql import Window
     from pyspark.sql.types import BinaryType, StructField, StructType
 
+    key, several, sets_, set_, row = (unused(docs, x) for x in ("of", "several", "sets", "set", "row"))
     rows = _labelled(docs, n, threshold, TOLERANCE).where("doc_id is not null")
     chosen = rows.where("label is not null and doc_id = class_id").groupBy("label").agg(F.min("set_id").alias("set_id"), F.min("doc_id").alias("doc_id"))
-    chosen = chosen.groupBy("doc_id").agg(F.collect_list("set_id").alias("__sets"))
-    ids = rows.groupBy("doc_id").agg((F.count("*") > 1).alias("__several"), (F.count("*") > F.count("set_id")).alias("__blank"))
-    kept = ids.join(chosen, "doc_id", "left").where("__sets is not null or __blank").select("doc_id", "__several", "__sets")
-    joined = docs.join(kept, "doc_id").select(*docs.columns, "__several", "__sets")
-    schema = StructType([*docs.schema.fields, StructField("__set", BinaryType())])
-    own = joined.where("__several").drop("__several").mapInArrow(_of_sets(n), schema)
-    order = Window.partitionBy("doc_id", "__set", F.when(F.col("__set").isNull(), F.col("text"))).orderBy(F.xxhash64("text"), "text")
-    own = own.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row", "__set")
-    return joined.where("not __several").drop("__several", "__sets").unionByName(own).unionByName(docs.where("doc_id is null"))
+    chosen = chosen.groupBy("doc_id").agg(F.collect_list("set_id").alias(sets_))
+    ids = rows.groupBy("doc_id").agg((F.count("*") > 1).alias(several), (F.count("*") > F.count("set_id")).alias("blank"))
+    kept = ids.join(chosen, "doc_id", "left").where(F.col(sets_).isNotNull() | F.col("blank")).select(F.col("doc_id").alias(key), several, sets_)
+    joined = docs.join(kept, F.col("doc_id") == F.col(key)).select(*docs.columns, several, sets_)
+    schema = StructType([*docs.schema.fields, StructField(set_, BinaryType())])
+    own = joined.where(F.col(several)).drop(several).mapInArrow(_of_sets(n, sets_, set_), schema)
+    order = Window.partitionBy("doc_id", set_, F.when(F.col(set_).isNull(), F.col("text"))).orderBy(F.xxhash64("text"), "text")
+    own = own.withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).drop(row, set_)
+    return joined.where(~F.col(several)).drop(several, sets_).unionByName(own).unionByName(docs.where("doc_id is null"))

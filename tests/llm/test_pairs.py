@@ -79,6 +79,28 @@ def test_links_and_classes(spark, seed):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_within_band_buckets(spark, seed):
+    """As ``test_links_and_classes``, with every cluster taken bucket by bucket."""
+    rows = corpus(seed)
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_classes(frame(spark, rows), by_bucket=0.0).collect())
+    assert got == brute(rows)
+
+
+def test_chains_of_hardly_similar_texts_are_taken_by_bucket(spark, monkeypatch):
+    import tessella.llm.jaccard_join as j
+
+    monkeypatch.setattr(j, "BLOCK_SETS", 4)
+    rng = random.Random(6)
+    words, rows = text(rng, 60, 10**6).split(), []
+    for i in range(250):
+        rows.append((i, " ".join(words)))
+        words = words[25:] + text(rng, 25, 10**6).split()
+    rows += [(1000 + i, changed(rng, rows[5 * i][1], 1)) for i in range(20)]
+    got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_classes(frame(spark, rows)).collect())
+    assert got == brute(rows)
+
+
 def test_blocks_of_a_large_cluster(spark, monkeypatch):
     import tessella.llm.jaccard_join as j
 
@@ -113,7 +135,9 @@ def test_texts_under_one_id_go_by_their_own_class(spark):
     rng = random.Random(24)
     texts = [text(rng, 40) for _ in range(5)]
     rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[3]), (3, texts[3].upper()), (4, texts[4]), (5, changed(rng, texts[3], 1)), (6, "..."), (6, "!"), (6, "!")]
-    kept = [(r["doc_id"], r["text"].lower()) for r in without_near_copies(frame(spark, rows)).collect()]
+    docs = frame(spark, rows).selectExpr("*", "1 as __row", "2 as row", "3 as sets", "4 as several", "5 as of")
+    assert without_near_copies(docs).columns == docs.columns
+    kept = [(r["doc_id"], r["text"].lower()) for r in without_near_copies(docs).collect()]
     assert sorted(kept) == sorted([(1, texts[0]), (2, texts[1]), (3, texts[2]), (3, texts[3]), (4, texts[4]), (6, "..."), (6, "!")])
 
 
