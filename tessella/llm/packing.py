@@ -1,8 +1,8 @@
 """Best-fit packing into bins of several permitted lengths.
 
 Documents longer than the longest bin are cut: every full piece is a bin of its own, the rest is packed.  Items are
-dealt into groups of about ``GROUP_TOKENS`` tokens by a hash, and each group is packed on its own, longest item first:
-an item goes to the open bin with the least room that holds it.  Where none does, a bin opens, of the length with the
+dealt into groups of about ``GROUP_TOKENS`` tokens, or ``GROUP_ROWS`` rows if these are fewer, by a hash of their row, so that rows with equal ids and lengths spread
+too, and each group is packed on its own, longest item first: an item goes to the open bin with the least room that holds it.  Where none does, a bin opens, of the length with the
 least cost per token that it can expect to hold.  At the end each bin shrinks to the least permitted length that holds
 its contents.  A bin's cost is a fixed part, its length, and a part that grows with the square of the length.
 
@@ -13,15 +13,16 @@ repeated rows are items of their own; a null doc_id is packed like any other.  A
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, map_arrow, runs
+from .common import map_arrow, runs, stored
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
-GROUP_TOKENS = 4_000_000
+GROUP_TOKENS, GROUP_ROWS = 4_000_000, 200_000
 #: A bin's cost besides its length: a fixed part, and the length's square over SQUARE times the longest length.
 FIXED, SQUARE = 64, 16
 
@@ -84,25 +85,29 @@ def pack_sizes(sizes: list[int], lengths: Sequence[int] = LENGTHS) -> tuple[list
 
 def _packed(lengths: Sequence[int]):
     longest = max(lengths)
+    names = [x.split()[0] for x in _OUT.split(", ")]
+
+    def rows(ids: list, sizes: list[int], base: int):
+        """Rows of a group, whose documents come with the longest rest first."""
+        whole = [n // longest for n in sizes]
+        rests = [n - w * longest for n, w in zip(sizes, whole)]
+        places, bins = pack_sizes([r for r in rests if r], lengths)
+        number = len(bins.used)
+        for doc, n, full, rest, (bin_, offset) in zip(ids, sizes, whole, rests, [*places, *[(0, 0)] * rests.count(0)]):
+            for piece in range(full):
+                yield doc, piece, piece * longest, longest, base + number, 0, longest, longest
+                number += 1
+            if rest:
+                yield doc, full, full * longest, rest, base + bin_, offset, bins.capacity[bin_], bins.used[bin_]
+            elif not n:
+                yield doc, 0, 0, 0, None, None, None, None
 
     def run(batches):
         for table in runs(batches, ["group"]):
-            sizes, pieces = table.column("n_tokens").to_pylist(), table.column("piece").to_pylist()
-            places, bins = pack_sizes(sizes, lengths)
-            base = table.column("group")[0].as_py() << 24
-            yield pa.RecordBatch.from_arrays(
-                [
-                    flat(table.column("doc_id")),
-                    flat(table.column("piece")),
-                    pa.array([p * longest for p in pieces], pa.int64()),
-                    pa.array(sizes, pa.int64()),
-                    pa.array([base + b for b, _ in places], pa.int64()),
-                    pa.array([o for _, o in places], pa.int64()),
-                    pa.array([bins.capacity[b] for b, _ in places], pa.int64()),
-                    pa.array([bins.used[b] for b, _ in places], pa.int64()),
-                ],
-                names=[x.split()[0] for x in _OUT.split(", ")],
-            )
+            base = table.column("group")[0].as_py() << 32
+            found = rows(table.column("doc_id").to_pylist(), table.column("n").to_pylist(), base)
+            while part := list(islice(found, 50_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part)], names=names)
 
     return run
 
@@ -110,40 +115,26 @@ def _packed(lengths: Sequence[int]):
 def pack(docs: DataFrame, lengths: Sequence[int] = LENGTHS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """One row per piece of a document of (doc_id, n_tokens): where in the document it starts, its bin and place there.
 
-    A document of at most the longest length is one piece.  A bin of several pieces has one bin_id; the bin_id of a
-    full piece is negative and its own.
+    A document of at most the longest length is one piece; one whose length is a multiple of it has no rest.  Every bin
+    has a bin_id of its own: the group in the leading bits, then a number within it.
     """
     longest = max(lengths)
-    items = docs.select("doc_id", F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)), F.lit(0)).alias("n"))
-    total = items.agg(F.sum("n").alias("n")).first()["n"] or 0
-    groups = max(1, -(-total // group_tokens))
-    cut_up = items.select("doc_id", "n", F.expr(f"n div {longest}").alias("full"))
-    full = cut_up.where("full > 0").select("doc_id", F.explode(F.expr("sequence(0L, full - 1)")).alias("piece")).select(
-        "doc_id",
-        "piece",
-        (F.col("piece") * longest).alias("piece_start"),
-        F.lit(longest).cast("long").alias("n_tokens"),
-        (-1 - F.expr("xxhash64(doc_id, piece) & 4611686018427387903L")).alias("bin_id"),
-        F.lit(0).cast("long").alias("bin_offset"),
-        F.lit(longest).cast("long").alias("bin_length"),
-        F.lit(longest).cast("long").alias("bin_used"),
-    )
-    rest = cut_up.select("doc_id", F.col("full").alias("piece"), (F.col("n") - F.col("full") * longest).alias("n_tokens"), "n")
+    counted = docs.select("doc_id", F.greatest(F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)), F.lit(0)).alias("n"))
+    # Written once, with a number for every row: lengths are not computed again, and a task that runs again finds the same.
+    items = stored(counted.withColumn("row", F.monotonically_increasing_id()), "lengths")
+    total, n_rows = items.agg(F.sum("n"), F.count("*")).first()
+    groups = max(1, -(-(total or 0) // group_tokens), -(-n_rows // GROUP_ROWS))
     dealt = (
-        rest.where("n_tokens > 0")
-        .withColumn("group", F.pmod(F.xxhash64("doc_id", "n"), F.lit(groups)))
-        .select("group", "doc_id", "piece", "n_tokens")
+        items.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
+        .withColumn("rest", F.expr(f"n % {longest}"))
         .repartition("group")
-        .sortWithinPartitions("group", F.desc("n_tokens"), "doc_id", "piece")
-    )
-    none = F.lit(None).cast("long")
-    empty = rest.where("n = 0").select(
-        "doc_id", "piece", F.lit(0).cast("long").alias("piece_start"), "n_tokens", none.alias("bin_id"), none.alias("bin_offset"), none.alias("bin_length"), none.alias("bin_used")
+        .sortWithinPartitions("group", F.desc("rest"), "doc_id", "n", "row")
     )
-    return map_arrow(dealt, _packed(lengths), _OUT).unionByName(full).unionByName(empty)
+    return map_arrow(dealt.select("group", "doc_id", "n"), _packed(lengths), _OUT)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """doc_id and the number of white-space separated words as n_tokens; null texts have none."""
-    text = F.trim(F.translate(F.coalesce("text", F.lit("")), "\n\r\t\x0b\x0c", "     "))
-    return docs.select("doc_id", F.size(F.filter(F.split(text, " ", -1), lambda w: w != "")).cast("long").alias("n_tokens"))
+    # Every word becomes one letter, then the spaces go.
+    letters = F.translate(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ \\n\\r\\t\\x0b\\x0c]+", "x"), " \n\r\t\x0b\x0c", "")
+    return docs.select("doc_id", F.length(letters).cast("long").alias("n_tokens"))
