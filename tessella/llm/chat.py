@@ -15,21 +15,25 @@ call needs a later one are levelled, one round for each level.  Calls on a cycle
 checked against JSON schemas, and every event is written as canonical JSON: sorted keys, no spaces, UTF-8.
 
 Defined results: null roles are messages, null texts are empty, a null conv_id never links; of several results with
-one identifier the first by turn and text is linked and ``n_results`` tells how many there are; several calls with one
-identifier each get the result; results without a call are events of their own (``orphan_result``); needed calls that
-do not exist are ignored in the order.  An empty table gives no rows.
+one identifier the first by turn and text is linked and ``n_results`` tells how many there are, and every other one that
+differs from it is an event of its own (``more_result``), so that no text is lost and no identifier gathers a long list;
+several calls with one identifier each get the result; results without a call are events of their own (``orphan_result``);
+needed calls that do not exist are ignored in the order.  A schema with an unknown type is a ValueError.  Texts that are JSON
+only with NaN or infinite numbers are messages.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, steps
+from .common import map_arrow, steps, stored
 
 SCHEMAS = {
     "reply": {
@@ -50,8 +54,30 @@ _TYPES = {
 }
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _escaped(text: str) -> str:
+    """Half surrogate pairs, which UTF-8 cannot hold, as JSON escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
+
+
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _escaped(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+def checked(schema: dict, at: str = "$") -> dict:
+    """The schema, if all types that it names are known."""
+    kinds = schema.get("type", [])
+    for k in [kinds] if isinstance(kinds, str) else kinds:
+        if k not in _TYPES:
+            raise ValueError(f"{at}: unknown type {k}")
+    for name, inner in schema.get("properties", {}).items():
+        checked(inner, f"{at}.{name}")
+    for name in ("items", "additionalProperties"):
+        if isinstance(schema.get(name), dict):
+            checked(schema[name], f"{at}.{name}")
+    return schema
 
 
 def violations(value: object, schema: dict, at: str = "$") -> list[str]:
@@ -94,12 +120,19 @@ def violations(value: object, schema: dict, at: str = "$") -> list[str]:
     return sorted(out)
 
 
+def _number(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError("JSON has no such number")
+    return value
+
+
 def _parsed(text: str) -> dict | None:
-    head = text[:64].lstrip()
-    if not head.startswith("{"):
+    """A text that is a JSON object; NaN and numbers beyond all bounds are no JSON."""
+    if not text.lstrip()[:1] == "{":
         return None
     try:
-        value = json.loads(text)
+        value = json.loads(text, parse_float=_number, parse_constant=_number)
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
@@ -116,11 +149,11 @@ def events(conv: int | None, turn: int | None, role: str | None, text: str, plai
             if isinstance(arguments, str):
                 inner = _parsed(arguments)
                 arguments = arguments if inner is None else inner
-            after = [str(a) for a in call["after"]] if isinstance(call.get("after"), list) else []
-            out.append(("call", str(call.get("id", f"{conv}:{turn}:{k}")), str(call.get("name", "")), canonical(arguments), after))
+            after = [_escaped(str(a)) for a in call["after"]] if isinstance(call.get("after"), list) else []
+            out.append(("call", _escaped(str(call.get("id", f"{conv}:{turn}:{k}"))), _escaped(str(call.get("name", ""))), canonical(arguments), after))
         return out
     if role == "tool" or (value is not None and "tool_call_id" in value):
-        return [("result", str((value or {}).get("tool_call_id", "")), None, canonical(text if value is None else value.get("content")), [])]
+        return [("result", _escaped(str((value or {}).get("tool_call_id", ""))), None, canonical(text if value is None else value.get("content")), [])]
     if plain and turn is not None and role == "user":
         return [("call", f"{conv}:{turn}", "reply", canonical({"prompt": text, "turn": turn}), [f"{conv}:{turn - 2}"])]
     if plain and turn is not None and role == "assistant":
@@ -167,7 +200,7 @@ def _written(schemas: str):
                     errors = [f"$: no tool named {c['name']}"] if schema is None else violations(payload, schema)
                     valid = not errors
                     body |= {"id": c["call_id"], "name": c["name"], "arguments": payload, "errors": errors, "result": None if c["result"] is None else json.loads(c["result"])}
-                elif c["kind"] == "orphan_result":
+                elif c["kind"] in ("orphan_result", "more_result"):
                     body |= {"id": c["call_id"], "result": payload}
                 else:
                     body |= {"role": c["role"], "text": payload}
@@ -189,17 +222,17 @@ def levels(calls: DataFrame) -> DataFrame:
     needs = calls.select("conv_id", "call_id", F.explode("after").alias("need"))
     known = nodes.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn"))
     edges = needs.join(known, ["conv_id", "need"]).join(nodes, ["conv_id", "call_id"]).select("conv_id", "call_id", "need", "turn", "need_turn").distinct()
-    mixed_up = cut(edges.where("need_turn >= turn").select("conv_id").distinct())
-    edges = cut(edges.join(mixed_up, "conv_id", "left_semi").select("conv_id", "call_id", "need"))
-    left = cut(nodes.join(mixed_up, "conv_id", "left_semi").select("conv_id", "call_id"))
+    mixed_up = stored(edges.where("need_turn >= turn").select("conv_id").distinct())
+    edges = stored(edges.join(mixed_up, "conv_id", "left_semi").select("conv_id", "call_id", "need"))
+    left = stored(nodes.join(mixed_up, "conv_id", "left_semi").select("conv_id", "call_id"))
     done, level = left.limit(0).withColumn("level", F.lit(0)), 0
     while not left.isEmpty():
-        ready = cut(left.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti"))
+        ready = stored(left.join(edges.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti"))
         if ready.isEmpty():
             return done.unionByName(left.withColumn("level", F.lit(-1)))
         done = done.unionByName(ready.withColumn("level", F.lit(level)))
-        left = cut(left.join(ready, ["conv_id", "call_id"], "left_anti"))
-        edges = cut(edges.join(ready.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_anti"))
+        left = stored(left.join(ready, ["conv_id", "call_id"], "left_anti"))
+        edges = stored(edges.join(ready.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_anti"))
         level += 1
     return done
 
@@ -207,10 +240,12 @@ def levels(calls: DataFrame) -> DataFrame:
 def format_chats(conversations: DataFrame, schemas: dict = SCHEMAS, plain: bool = True) -> DataFrame:
     """One row per event of (conv_id, turn, role, text), sorted into order by conv_id, level, turn, ordinal.
 
-    Columns: conv_id, turn, ordinal, kind (call, orphan_result or message), call_id, level, valid (calls only), n_errors,
+    Columns: conv_id, turn, ordinal, kind (call, more_result, orphan_result or message), call_id, level, valid (calls only), n_errors,
     n_results, result_turn, json.
     """
-    rows = cut(map_arrow(conversations.select("conv_id", "turn", "role", "text"), _split(plain), _EVENT))
+    for name, schema in schemas.items():
+        checked(schema, name)
+    rows = stored(map_arrow(conversations.select("conv_id", "turn", "role", "text"), _split(plain), _EVENT))
     calls = rows.where("kind = 'call'")
     results = (
         rows.where("kind = 'result' and conv_id is not null")
@@ -226,7 +261,15 @@ def format_chats(conversations: DataFrame, schemas: dict = SCHEMAS, plain: bool
         .withColumn("n_results", F.coalesce("n_results", F.lit(0).cast("long")))
     )
     orphans = rows.where("kind = 'result'").join(known, ["conv_id", "call_id"], "left_anti").withColumn("kind", F.lit("orphan_result"))
-    others = orphans.unionByName(rows.where("kind = 'message'")).select(
+    firsts = results.join(known, ["conv_id", "call_id"]).select("conv_id", "call_id", F.col("result").alias("first"), "result_turn")
+    more = (
+        rows.where("kind = 'result'")
+        .join(firsts, ["conv_id", "call_id"])
+        .where(~(F.col("turn").eqNullSafe(F.col("result_turn")) & (F.col("payload") == F.col("first"))))
+        .select(*rows.columns)
+        .withColumn("kind", F.lit("more_result"))
+    )
+    others = orphans.unionByName(more).unionByName(rows.where("kind = 'message'")).select(
         "*", F.lit(None).cast("string").alias("result"), F.lit(None).cast("long").alias("result_turn"), F.lit(0).cast("long").alias("n_results"), F.lit(0).alias("level")
     )
     every = linked.unionByName(others).select("conv_id", "turn", "ordinal", "kind", "role", "call_id", "name", "payload", "level", "result", "result_turn", "n_results")

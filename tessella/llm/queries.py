@@ -118,6 +118,12 @@ SELECT e.conv_id, e.turn, 0, 'orphan_result', e.call_id, 0, NULL, 0, 0, NULL,
        '{"conv_id":' || e.conv_id || ',"id":"' || e.call_id || '","result":' || CAST(to_json(e.text) AS VARCHAR) || ',"turn":' || e.turn || ',"type":"orphan_result"}'
 FROM e ANTI JOIN calls c ON e.conv_id = c.conv_id AND e.call_id = c.call_id WHERE e.kind = 'result'
 UNION ALL
+SELECT e.conv_id, e.turn, 0, 'more_result', e.call_id, 0, NULL, 0, 0, NULL,
+       '{"conv_id":' || e.conv_id || ',"id":"' || e.call_id || '","result":' || CAST(to_json(e.text) AS VARCHAR) || ',"turn":' || e.turn || ',"type":"more_result"}'
+FROM e SEMI JOIN calls c ON e.conv_id = c.conv_id AND e.call_id = c.call_id
+JOIN results r ON e.conv_id = r.conv_id AND e.call_id = r.call_id
+WHERE e.kind = 'result' AND (e.turn IS DISTINCT FROM r.result_turn OR e.text <> r.result)
+UNION ALL
 SELECT e.conv_id, e.turn, 0, 'message', NULL, 0, NULL, 0, 0, NULL,
        '{"conv_id":' || e.conv_id || ',"role":' || CAST(to_json(e.role) AS VARCHAR) || ',"text":' || CAST(to_json(e.text) AS VARCHAR) || ',"turn":' || e.turn || ',"type":"message"}'
 FROM e WHERE e.kind = 'message'
