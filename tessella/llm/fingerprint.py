@@ -5,7 +5,7 @@ lines have pieces of some words whose borders depend on the words there alone.
 a paragraph of its own.  A paragraph's 64-bit digest goes to three cells, one in each third of the table; a cell
 holds count, sum of digests and sum of check values, all modulo 2**n.  Two tables of one size subtract cell by cell;
 cells with a single digest left are peeled until nothing is left, which gives the digests that differ.  If peeling
-gets stuck, both tables are built again with ``GROWTH`` times the cells.
+gets stuck, both tables are built again with ``GROWTH`` times the cells and other places for the digests.
 
 likeness = shared paragraphs / all paragraphs of both, from the counts and the recovered digests; 1.0 for two texts
 without a paragraph.  The published fingerprint is the table of ``CELLS`` cells in hexadecimal, led by the count.
@@ -22,12 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, steps
-from .ordering import part_of, splitters
+from .ordering import is_bound, part_of, splitters
 from .words import Words, mix
 
 CELLS, GROWTH, CUT = 12, 4, 6
-#: Beyond this many cells, exact set difference takes over from peeling, which then could only fail by equal digests.
-LAST_CELLS = 1 << 22
 
 
 def paragraphs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +77,7 @@ def _check(digests: np.ndarray) -> np.ndarray:
 def _cells(digests: np.ndarray, size: int) -> list[np.ndarray]:
     third = np.uint64(size // 3)
     with np.errstate(over="ignore"):
-        return [(mix(digests + np.uint64(i * 0x632BE59BD9B4E019 % (1 << 64))) % third + np.uint64(i) * third).astype(np.int64) for i in range(3)]
+        return [(mix(digests + np.uint64((i + size) * 0x632BE59BD9B4E019 % (1 << 64))) % third + np.uint64(i) * third).astype(np.int64) for i in range(3)]
 
 
 class Sketches:
@@ -165,11 +163,6 @@ def differences(digests: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.n
             only[:, part[clear]], cells[part[clear]] = got[:, clear], size
             stuck.append(part[~clear])
         todo, size = np.concatenate(stuck), size * GROWTH
-        if size > LAST_CELLS:
-            for k in todo:
-                x, y = (digests[offsets[t[k]] : offsets[t[k] + 1]] for t in (a, b))
-                only[:, k], cells[k] = (len(np.setdiff1d(x, y)), len(np.setdiff1d(y, x))), size
-            break
     return only[0], only[1], cells
 
 
@@ -260,7 +253,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     low = ids.agg(F.min("doc_id").alias("low"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
     placed = docs.withColumn("part", part_of(bounds)("doc_id"))
     # A splitter's rows are the first of their part; the row that leads the whole order also ends the last part.
-    is_first = F.col("doc_id").isin(bounds) if len(bounds) <= 64 else F.col("doc_id").isNotNull() & F.array_contains(F.array(*map(F.lit, bounds)), F.col("doc_id"))
+    is_first = is_bound(bounds)("doc_id")
     leads = F.col("doc_id").isNull() if low["nulls"] else F.col("doc_id") == low["low"]
     copies = F.array_compact(
         F.array(

@@ -12,11 +12,11 @@ about ``PER_LANGUAGE`` documents of each language, picked by a hash of their id.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +38,9 @@ FAMILIES = {
     "indic": ("bn", "hi", "mr", "ne", "pa", "ur"),
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes}
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters by their Unicode category, for training (in the JVM) and prediction alike.
+_LETTER_CLASS = r"\p{L}"
+_LETTER = regex.compile(_LETTER_CLASS)
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
 
@@ -139,7 +141,7 @@ def _share_rows(batches):
 
 def fit_language_model(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     """Learn from (doc_id, text, lang); feature shares are computed on the executors and only they come to the driver."""
-    rows = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    rows = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(_LETTER_CLASS))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageModel.fit(np.zeros((0, _D), np.float32), [])
@@ -185,7 +187,10 @@ def _kept(model: LanguageModel):
 
 
 def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The rows whose language can be told, all columns as they are; texts without a letter are rejected."""
+    """The rows whose language can be told, all columns as they are; texts without a letter are rejected.
+
+    Every row goes by its own text, whatever its doc_id.
+    """
     return docs.mapInArrow(_kept(model), docs.schema)
 
 

@@ -6,7 +6,8 @@ logistic unit.  The first layer is kept as one table per place in the filter, so
 
 Defined results: null texts are empty; an empty text is scored like a text of padding bytes; without labels of both
 kinds every score is the share of label 1, or 0.5 where there is none.  Labels with a null are ignored; a document
-with several equal label rows is learned from once.  At most about ``PER_LABEL`` documents of each label are learned from.
+with several equal label rows is learned from once.  At most about ``PER_LABEL`` documents of each label are learned from, picked
+by a hash of their id, and of these as many as have ``LEARN_BYTES`` together, in the order of that hash.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import held_out, map_arrow, steps
 
-#: Labelled documents learned from, for each label, and the size in bytes up to which a document may be among them.
-PER_LABEL, MOST_BYTES = 600, 20_000
+#: Labelled documents learned from, for each label, and the bytes of all of them.
+PER_LABEL, LEARN_BYTES = 600, 8_000_000
 FILTERS, WIDTH, BLOCK = 16, 5, 128
 EPOCHS, RATE, PENALTY = 24, 0.02, 1e-4
 _PIECE = 512 * BLOCK
@@ -135,7 +136,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL)
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").where(~held_out())
     known = known.distinct()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= MOST_BYTES)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return float(next(iter(counts), 0.5))
@@ -143,7 +144,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL)
     number = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1_000_000))
     picked = known.where(number < F.when(F.col("quality") == 1, wanted[1]).otherwise(wanted[0]))
     # About 2 * per_label rows of two numbers, whatever the corpus: they are broadcast, and no text is shuffled.
-    got = rows.join(F.broadcast(picked), "doc_id").collect()
+    order = Window.orderBy(number, "doc_id", "quality", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.join(F.broadcast(picked), "doc_id").withColumn("bytes", F.sum(F.octet_length("text")).over(order))
+    got = joined.where(F.col("bytes") <= LEARN_BYTES).drop("bytes").collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"], r["quality"]))
     if len({r["quality"] for r in got}) < 2:
         return counts.get(1, 0) / sum(counts.values())
