@@ -39,9 +39,26 @@ def sample(n, seed=0):
     return out
 
 
+#: Rows without a letter, though some have characters that are word characters.
+SIGNS = [(9101, "½ ² ① 12", "de", "s", 1), (9102, "_ _ ٣", "fr", "s", 1)]
 ODD = [(9001, None, "en", None, None), (9002, "", None, "s", 0), (9003, "123 !!! ---", "de", "s", 1), (9004, "the and " * 20_000, None, None, 1), (None, "le et la que", None, None, None), (5, "the of and", None, None, None)]
 
 
+def test_samples_from_an_offset():
+    rng = np.random.default_rng(3)
+    pcm = bytes(rng.integers(60, 200, 5 * flac.BLOCK + 64).astype(np.uint8))
+    stream = flac.encode([pcm])[0]
+    for a, b in [(0, 1), (0, len(pcm)), (flac.BLOCK - 1, flac.BLOCK + 1), (1500, 4000), (len(pcm) - 3, len(pcm) + 9), (-5, 3), (70, 70), (10**6, 10**7)]:
+        assert flac.read_samples(stream, a, b) == pcm[max(0, a) : b]
+    # A damaged frame is not read where other samples are wanted.
+    frames, _, _ = flac.index(stream)
+    broken = bytearray(stream)
+    broken[frames[4].byte + frames[4].size // 2] ^= 1
+    assert flac.read_samples(bytes(broken), 0, 2000) == pcm[:2000]
+    with pytest.raises(ValueError):
+        flac.read_samples(bytes(broken), 4 * flac.BLOCK, 4 * flac.BLOCK + 5)
+
+
 def test_held_out(spark):
     got = {r["doc_id"]: r["h"] for r in spark.range(50).withColumnRenamed("id", "doc_id").select("doc_id", held_out().alias("h")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(50)}
@@ -58,6 +75,8 @@ def test_language(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in got if (r["doc_id"] or 0) > 9000} == {9001: "und", 9002: "und", 9003: "und", 9004: "en"}
     kept = identified(docs, model)
     assert kept.columns == docs.columns and kept.count() == 403
+    assert [(r["lang_pred"], r["score"]) for r in predict_language(frame(spark, SIGNS), model).collect()] == [("und", 0.0)] * 2
+    assert identified(frame(spark, SIGNS), model).count() == 0
     none = fit_language_model(trainable(frame(spark, [])))
     assert predict_language(docs, none).where("lang_pred <> 'und'").count() == 0
     assert predict_language(frame(spark, []), model).count() == 0
@@ -200,6 +219,10 @@ def test_packing(spark):
     assert len({k[0] for k in totals}) == len(totals)
     for (_, length, used), own in totals.items():
         assert sum(n for _, n in own) == used <= length in LENGTHS
+        assert all(o + n == p for (o, n), (p, _) in zip(sorted(own), sorted(own)[1:]))
+    same = spark.createDataFrame([(1, 8192), (1, 8192), (None, 10)] + [(None, 8193)] * 50, "doc_id long, n_tokens long")
+    full = [r["bin_id"] for r in pack(same, group_tokens=60_000).collect() if r["n_tokens"] == 8192]
+    assert len(full) == len(set(full)) == 52
     pieces = sorted((r["piece_start"], r["n_tokens"]) for r in got if r["doc_id"] == next(i for i, n in rows if n == 30_000))
     assert pieces == [(0, 8192), (8192, 8192), (16384, 8192), (24576, 5424)]
     assert pack(docs.limit(0)).count() == 0
@@ -207,6 +230,31 @@ def test_packing(spark):
     assert sorted((r[0], r[1]) for r in word_counts(words).collect()) == [(1, 3), (2, 0), (3, 0)]
 
 
+def partitions(items):
+    """All ways to put items into bins, as lists of lists."""
+    if not items:
+        yield []
+        return
+    for rest in partitions(items[1:]):
+        yield [[items[0]], *rest]
+        for k in range(len(rest)):
+            yield [*rest[:k], [items[0], *rest[k]], *rest[k + 1 :]]
+
+
+def test_packing_against_the_optimum():
+    """Small cases: within a few per cent of the least cost over all ways to pack."""
+    rng = random.Random(33)
+    lengths, cost = (8, 16, 32), costs((8, 16, 32))
+    ratio = []
+    for _ in range(25):
+        sizes = sorted((rng.randint(1, 32) for _ in range(rng.randint(1, 7))), reverse=True)
+        best = min(sum(cost[next(c for c in lengths if c >= sum(b))] for b in bins) for bins in partitions(sizes) if all(sum(b) <= 32 for b in bins))
+        got = sum(cost[c] for c in pack_sizes(sizes, lengths)[1].capacity)
+        assert got >= best - 1e-9
+        ratio.append(got / best)
+    assert np.mean(ratio) < 1.1 and max(ratio) < 1.6
+
+
 def project(p, n, t, rounds=20_000):
     """Plain projected gradient on the documents themselves, in the same metric."""
     g = np.linalg.inv((p * n[:, None]).T @ p / n.sum() + 1e-9 * np.eye(p.shape[1]))
@@ -326,11 +374,29 @@ def test_chats(spark):
     assert calls[None, "a"]["valid"] and calls[None, "a"]["n_results"] == 0
     assert sorted((r["turn"], r["kind"]) for r in got if r["conv_id"] == 3) == [(0, "message"), (1, "message"), (1, "message")]
     assert [r["turn"] for r in got if r["kind"] == "orphan_result"] == [5]
+    assert [(r["turn"], r["call_id"], json.loads(r["json"])["result"]) for r in got if r["kind"] == "more_result"] == [(4, "b", "rain")]
     assert format_chats(docs.limit(0)).count() == 0
     plain = format_chats(spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "ho"), (1, 2, "user", ""), (1, 4, "assistant", "alone")], CHAT)).collect()
     assert sorted((r["turn"], r["kind"], r["valid"], r["n_results"]) for r in plain) == [(0, "call", True, 1), (2, "call", False, 0), (4, "orphan_result", None, 0)]
 
 
+def test_odd_chats(spark):
+    lone = '{"tool_calls":[{"id":"a\\ud800","name":"place","arguments":{"p":"\\ud800"}}]}'
+    rows = [
+        (1, 0, "assistant", lone),
+        (2, 0, "assistant", " " * 70 + call({"id": "b", "name": "place", "arguments": {}})),
+        (3, 0, "assistant", '{"tool_calls":[{"id":"c","name":"place","arguments":{"x":NaN}}]}'),
+        (4, 0, "assistant", '{"tool_calls":[{"id":"d","name":"place","arguments":{"x":1e999}}]}'),
+        (5, 0, "tool", '{"tool_call_id":"a","content":"\\udfff"}'),
+    ]
+    got = {r["conv_id"]: r for r in format_chats(spark.createDataFrame(rows, CHAT), {"place": {}}, plain=False).collect()}
+    assert {i: r["kind"] for i, r in got.items()} == {1: "call", 2: "call", 3: "message", 4: "message", 5: "orphan_result"}
+    assert json.loads(got[1]["json"])["arguments"] == {"p": "\ud800"} and json.loads(got[5]["json"])["result"] == "\udfff"
+    assert got[1]["json"].isascii() and json.loads(got[3]["json"])["text"] == rows[2][3]
+    with pytest.raises(ValueError):
+        format_chats(spark.createDataFrame(rows, CHAT), {"place": {"properties": {"x": {"type": "colour"}}}})
+
+
 def test_schemas():
     assert violations({"a": 1}, {"type": "object", "additionalProperties": False}) == ["$.a: not allowed"]
     assert violations([1, "x"], {"type": "array", "items": {"type": "integer", "minimum": 2}}) == ["$[0]: less than 2", "$[1]: not of type integer"]
