@@ -2,11 +2,14 @@
 
 A task reduces a whole chunk with numpy and passes on its half-size result, so a level shuffles 1/2**k of the bytes of
 the one before (k downsampled dimensions) and no cell is ever a row.  Chunk edges of downsampled dimensions must be
-even.  Results equal those of ``pyramid`` followed by ``tile``.
+even.  ``packed_levels`` makes all levels that the chunk edges' powers of two allow from one look at a chunk, with a
+single shuffle for all of them.  Results equal those of ``pyramid`` followed by ``tile``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +22,15 @@ from tessella.plans.spec import SpecError, dtype
 def reduce_block(block: np.ndarray, axes: list[int], method: str) -> np.ndarray:
     """Windows of two along each axis, reduced; odd extents end in smaller windows."""
     integral = block.dtype.kind in "ui"
+    if integral and method == "mean" and block.dtype.itemsize < 8 and not any(block.shape[a] % 2 for a in axes):
+        # Whole windows of narrow integers: halves are added up along one axis after the other.
+        total = block.astype(np.int64 if block.dtype.itemsize == 4 else np.int32)
+        for a in axes:
+            even, odd_ = (total[tuple(slice(k, None, 2) if b == a else slice(None) for b in range(block.ndim))] for k in (0, 1))
+            total = even + odd_
+        if block.dtype.kind == "i":
+            total += (total < 0) * ((1 << len(axes)) - 1)
+        return (total >> len(axes)).astype(block.dtype)
     odd = [(0, block.shape[a] % 2 if a in axes else 0) for a in range(block.ndim)]
     there = np.pad(np.ones(block.shape, bool), odd)
     full = np.pad(block, odd, mode="edge")
@@ -103,6 +115,61 @@ def next_level(chunks: DataFrame, plan: ArrayPlan, level: int, frames: int | Non
     return grouped.mapInArrow(join, "chunk array<bigint>, payload binary")
 
 
+def packed_levels(chunks: DataFrame, plan: ArrayPlan, frames: int | None = None) -> DataFrame:
+    """(level, chunk, payload) of all levels of the chunks given, which are read once for level 0 and once for the others."""
+    spec, base = plan.spec, chunks.select(F.lit(0).alias("level"), "chunk", "payload")
+    extents = plan.stored_extents(0, frames)
+    kind, edges, sizes = dtype(spec.dtype).numpy, [e.chunk for e in extents], [e.size for e in extents]
+    axes = [i for i, e in enumerate(extents) if e.name in spec.lod_dims]
+    depth = 0
+    while depth + 1 < plan.levels and all(edges[a] % (2 << depth) == 0 for a in axes):
+        depth += 1
+    if not depth:
+        return base if plan.levels == 1 else _stacked(packed_pyramid(chunks, plan, frames))
+    fill, names = spec.fill, ["level", "chunk", "corner", "shape", "part"]
+
+    def shrink(batches):
+        """Every level of a chunk: chunks begin at multiples of all windows, so none of these reaches beyond a chunk."""
+        for batch in batches:
+            rows = []
+            columns = (batch.column(batch.schema.get_field_index(c)) for c in ("chunk", "payload"))
+            for c, payload in zip(*columns):
+                c = c.as_py()
+                there = [min(n, s - x * n) if s else n for n, s, x in zip(edges, sizes, c)]
+                block = np.frombuffer(payload.as_buffer(), kind).reshape(edges)[tuple(map(slice, there))]
+                for level in range(1, depth + 1):
+                    block = reduce_block(block, axes, spec.reduce)
+                    parent = [x >> level if i in axes else x for i, x in enumerate(c)]
+                    corner = [(x - (x >> level << level)) * (n >> level) if i in axes else 0 for i, (x, n) in enumerate(zip(c, edges))]
+                    rows.append((level, parent, corner, list(block.shape), block.tobytes()))
+            types = [pa.int32(), *[pa.list_(pa.int64())] * 3, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
+
+    def join(batches):
+        for batch in batches:
+            out = []
+            for parts in batch.column(batch.schema.get_field_index("parts")).to_pylist():
+                whole = np.full(edges, fill, kind)
+                for r in parts:
+                    whole[tuple(slice(c, c + n) for c, n in zip(r["corner"], r["shape"]))] = np.frombuffer(r["part"], kind).reshape(r["shape"])
+                out.append(whole.tobytes())
+            keys = [batch.column(batch.schema.get_field_index(c)) for c in ("level", "chunk")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(out, pa.binary())], names=["level", "chunk", "payload"])
+
+    parts = chunks.select("chunk", "payload").mapInArrow(shrink, "level int, chunk array<bigint>, corner array<bigint>, shape array<bigint>, part binary")
+    grouped = parts.groupBy("level", "chunk").agg(F.collect_list(F.struct("corner", "shape", "part")).alias("parts"))
+    done = base.unionByName(grouped.mapInArrow(join, "level int, chunk array<bigint>, payload binary"))
+    last = done.where(F.col("level") == depth).select("chunk", "payload")
+    for level in range(depth, plan.levels - 1):
+        last = next_level(last, plan, level, frames)
+        done = done.unionByName(last.select(F.lit(level + 1).alias("level"), "chunk", "payload"))
+    return done
+
+
+def _stacked(levels: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [x.select(F.lit(i).alias("level"), "chunk", "payload") for i, x in enumerate(levels)])
+
+
 def packed_pyramid(chunks: DataFrame, plan: ArrayPlan, frames: int | None = None) -> list[DataFrame]:
     """Chunks of every level; the first are those given."""
     out = [chunks.select("chunk", "payload")]

@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from tessella.operators import cells as ce
 from tessella.operators import codec as co
 from tessella.operators import shard as sh
 from tessella.operators.fold import all_levels, emits, fold, fold_level
-from tessella.operators.packed import packed_pyramid
+from tessella.operators.packed import packed_levels
 from tessella.operators.pyramid import pyramid, reduce_level
 from tessella.operators.tile import placed, tile, untile
 from tessella.plans.geometry import ArrayPlan, inverse_permutation, strides
@@ -240,13 +241,27 @@ def lod_packed_pyramid(spark, sf_dir):
     plan = ArrayPlan(_EVEN)
     source = orders(spark, sf_dir, _EVEN)
     frames = read(spark, sf_dir, "orders").count() // (Y * X)
-    out = None
-    for level, chunks in enumerate(packed_pyramid(tile(source, plan), plan, frames)):
-        own = ce.inside(untile(chunks, plan), _EVEN, level).where(F.col("t") < frames).select(F.lit(level).alias("level"), "t", "y", "x", "value")
+    chunks, out = packed_levels(tile(source, plan), plan, frames).persist(StorageLevel.DISK_ONLY), None
+    for level in range(plan.levels):
+        own = ce.inside(untile(chunks.where(F.col("level") == level).drop("level"), plan), _EVEN, level).where(F.col("t") < frames).select(F.lit(level).alias("level"), "t", "y", "x", "value")
         out = own if out is None else out.unionByName(own)
     return out
 
 
+@query(f"WITH {_CELLS} SELECT t, y // 2 AS y, x // 2 AS x, CAST(sum(v) // count(*) AS INTEGER) AS value FROM c GROUP BY ALL")
+def snk_packed(spark, sf_dir):
+    """A store written from whole chunks, its first level read back."""
+    from tessella.sources.store import read_array, write_packed
+
+    dims = (T, Dim("y", Y, 4, 2, downsample=True), Dim("x", X, 4, 2, downsample=True))
+    spec, path = orders_spec(dims=dims, codec=Codec("zstd", 1), name="p"), shared_folder(spark, "packed")
+    source = orders(spark, sf_dir, spec)
+    frames = source.agg(F.max("t")).first()[0] + 1
+    write_packed(tile(source, ArrayPlan(spec)), spec, path, frames)
+    back = read_array(spark, path, "p/1")
+    return back.join(source.select("t", ix.idiv("y", 2).alias("y"), ix.idiv("x", 2).alias("x")).distinct(), ["t", "y", "x"]).select("t", "y", "x", "value")
+
+
 @query("""WITH e AS (SELECT vec_id AS v, unnest(range(64)) AS k, unnest(embedding) AS z FROM embeddings)
 SELECT v // 2 AS vec, k // 2 AS k, round(avg(CAST(z AS DOUBLE)), 4) + 0.0 AS value FROM e GROUP BY ALL""")
 def lod_float_mean(spark, sf_dir):
@@ -699,12 +714,14 @@ def lod_lineitem_mean(spark, sf_dir):
 def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``idx``, the place in the order of the keys: counts below each value of the first key, then ranks within it.
 
-    No task gets all rows: the only window without a partition runs over one row per bucket of the first key.
+    Counts are summed in two steps, within and over groups of buckets of the first key.  The only window without a partition
+    runs over the groups, which are one for every 1024 * 4096 values of that key.
     """
-    first = keys[0]
-    bucket = ix.idiv(first, 1024)
-    sums = rows.groupBy(bucket.alias("__b")).agg(F.count("*").alias("n"))
-    below = sums.select("__b", (F.sum("n").over(Window.orderBy("__b")) - F.col("n")).alias("__below"))
+    bucket = ix.idiv(keys[0], 1024)
+    sums = rows.groupBy(bucket.alias("__b")).agg(F.count("*").alias("n")).withColumn("__g", ix.idiv("__b", 4096))
+    groups = sums.groupBy("__g").agg(F.sum("n").alias("n")).select("__g", (F.sum("n").over(Window.orderBy("__g")) - F.col("n")).alias("__before"))
+    inside = sums.withColumn("__inside", F.sum("n").over(Window.partitionBy("__g").orderBy("__b")) - F.col("n"))
+    below = inside.join(groups, "__g").select("__b", (F.col("__before") + F.col("__inside")).alias("__below"))
     within = rows.withColumn("__b", bucket).withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*keys)))
     return within.join(below, "__b").withColumn("idx", F.col("__below") + F.col("__r") - 1).drop("__b", "__r", "__below")
 

@@ -3,6 +3,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from oracle import cells_of, fold as fold_oracle, halve
 
 from tessella.functions import index as ix
@@ -10,7 +11,7 @@ from tessella.operators.cells import beyond_capacity, cells, checked, epoch, ind
 from tessella.operators.codec import available, compress, decode, decompress, encode, require, worst_size
 from tessella.operators.fold import fold_level
 from tessella.operators.metrics import discard, metered
-from tessella.operators.packed import next_level, packed_pyramid, reduce_block
+from tessella.operators.packed import next_level, packed_levels, packed_pyramid, reduce_block
 from tessella.operators.pyramid import pyramid
 from tessella.operators.shard import assemble, crc32c, key_from_number, pack_shard, parse_index, parse_shard
 from tessella.operators.tile import tile, untile
@@ -197,6 +198,16 @@ def test_packed_pyramid_equals_cells(spark):
         next_level(source, odd, 0)
 
 
+@pytest.mark.parametrize("method, kind", [("mean", "i16"), ("mean", "u16"), ("max_sup", "i32"), ("mean", "f64")])
+@pytest.mark.parametrize("edge", [4, 6, 8])
+def test_all_packed_levels_equal_cells(spark, method, kind, edge):
+    spec = ArraySpec((Dim("t", 3, 2), Dim("y", 21, edge, downsample=True, position=2), Dim("x", 13, edge, downsample=True, position=1)), dtype=kind, reduce=method, fill=5)
+    plan = ArrayPlan(spec)
+    source = cells(synthetic.noise(spark, 3 * 21 * 13).withColumn("value", F.expr("value - 2048 * cast(%s as int)" % (kind[0] != "u"))), spec)
+    want = {(r["level"], *r["chunk"], bytes(r["payload"])) for r in tile(pyramid(source, plan), plan, by=("level",)).collect()}
+    assert {(r["level"], *r["chunk"], bytes(r["payload"])) for r in packed_levels(tile(source, plan), plan).collect()} == want
+
+
 def test_several_arrays(spark):
     specs = {"a": ArraySpec((Dim("i", 4), Dim("x", 4)), dtype="i32"), "b": ArraySpec((Dim("i", 0, 1, 1), Dim("x", 3)), dtype="i32")}
     rows = spark.createDataFrame([("a", i, i) for i in range(20)] + [("b", i, 100 + i) for i in range(7)], "array_id string, idx bigint, value bigint")
