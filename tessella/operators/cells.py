@@ -64,10 +64,34 @@ def checked(frame: DataFrame, of: str) -> DataFrame:
     return frame.withColumn("value", F.when(wrong, F.raise_error(F.concat(F.lit(f"not a {of}: "), F.coalesce(F.col("value").cast("string"), F.lit("null")))).cast(frame.schema["value"].dataType)).otherwise(F.col("value")))
 
 
+def array_cells(frame: DataFrame, specs: dict[str, ArraySpec], index: str = "idx", value: str = "value") -> DataFrame:
+    """Cells of several arrays from one look at (array_id, index, value): array_id, the dimensions of all of them, value.
+
+    A dimension that an array does not have is null.  Elements beyond an array's capacity, and of unknown arrays, are left
+    out.  The value has the least type that holds all element types.
+    """
+    if not specs:
+        raise SpecError("no arrays")
+    own = {name: F.col("array_id") == name for name in sorted(specs)}
+    fits = {}
+    for name, spec in specs.items():
+        capacity = ArrayPlan(spec).capacity
+        fits[name] = own[name] if capacity is None else own[name] & (F.col(index) >= 0) & (F.col(index) < capacity)
+    rows = frame.where(reduce(lambda a, b: a | b, fits.values()))
+    coords: dict[str, Column] = {}
+    for name, spec in sorted(specs.items()):
+        for column, d in zip(unravel(F.col(index), [d.size for d in spec.dims], bounded=bool(spec.dims[0].size)), spec.dims):
+            before = coords.get(d.name)
+            coords[d.name] = F.when(own[name], column) if before is None else before.when(own[name], column)
+    values = F.coalesce(*[F.when(own[name], F.col(value).cast(dtype(spec.dtype).spark)) for name, spec in sorted(specs.items())])
+    return rows.select("array_id", *[c.alias(n) for n, c in coords.items()], values.alias("value"))
+
+
 def per_array(frame: DataFrame, specs: dict[str, ArraySpec], make) -> DataFrame:
     """Apply ``make(rows, spec)`` to the rows of every array_id and put the results together.
 
-    Arrays are told apart by a column, so elements of several may come in any order.
+    Arrays are told apart by a column, so elements of several may come in any order.  ``make`` may be anything, so the
+    source is read for every array: ``array_cells`` makes cells from one look at it.
     """
     if not specs:
         raise SpecError("no arrays")

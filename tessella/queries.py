@@ -446,7 +446,7 @@ def src_multi_array(spark, sf_dir):
     e = read(spark, sf_dir, "events").select(F.lit("e").alias("array_id"), F.col("event_id").alias("idx"), (F.col("event_id") % 1000).alias("value"))
     o = read(spark, sf_dir, "orders").select(F.lit("o").alias("array_id"), F.col("o_orderkey").alias("idx"), (F.col("o_orderkey") % 777).alias("value"))
     specs = {"e": ArraySpec((Dim("a", 0, 10, 1), Dim("b", 50, 10)), dtype="i32"), "o": ArraySpec((Dim("a", 0, 10, 1), Dim("b", 20, 10)), dtype="i32")}
-    return ce.per_array(e.unionByName(o), specs, lambda rows, spec: ce.cells(rows, spec)).select("array_id", "a", "b", "value")
+    return ce.array_cells(e.unionByName(o), specs).select("array_id", "a", "b", "value")
 
 
 # Stores.

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from oracle import cells_of, fold as fold_oracle, halve
 
 from tessella.functions import index as ix
-from tessella.operators.cells import beyond_capacity, cells, checked, epoch, index_of, inside, per_array
+from tessella.operators.cells import array_cells, beyond_capacity, cells, checked, epoch, index_of, inside, per_array
 from tessella.operators.codec import available, compress, decode, decompress, encode, require, worst_size
 from tessella.operators.fold import fold_level
-from tessella.operators.metrics import discard, metered
+from tessella.operators.metrics import discard, metered, timed
 from tessella.operators.packed import next_level, packed_levels, packed_pyramid, reduce_block
 from tessella.operators.pyramid import pyramid
 from tessella.operators.shard import assemble, crc32c, key_from_number, pack_shard, parse_index, parse_shard
@@ -216,6 +216,34 @@ def test_several_arrays(spark):
     assert {(r["i"], r["x"], r["value"]) for r in got.where("array_id = 'b'").collect()} == {(k // 3, k % 3, 100 + k) for k in range(7)}
 
 
+def test_cells_of_several_arrays(spark):
+    specs = {"a": ArraySpec((Dim("i", 4), Dim("x", 4)), dtype="i16"), "b": ArraySpec((Dim("i", 0, 1, 1), Dim("y", 3)), dtype="i32")}
+    rows = spark.createDataFrame([("a", i, i) for i in range(20)] + [("b", i, 100 + i) for i in range(7)] + [("c", 0, 0), (None, 1, 1)], "array_id string, idx bigint, value bigint")
+    got = array_cells(rows, specs)
+    assert got.columns == ["array_id", "i", "x", "y", "value"] and dict(got.dtypes)["value"] == "int"
+    assert {tuple(r) for r in got.collect()} == {("a", k // 4, k % 4, None, k) for k in range(16)} | {("b", k // 3, None, k % 3, 100 + k) for k in range(7)}
+    with pytest.raises(SpecError):
+        array_cells(rows, {})
+
+
+def test_times_of_stages(spark):
+    with timed(spark) as took:
+        discard(spark.range(1000, numPartitions=3).groupBy((F.col("id") % 7).alias("k")).count())
+    assert took.seconds > 0 and len(took.stages) >= 2 and took.stages[0].tasks == 3 and took.total("shuffle_written") > 0
+    assert all(s.seconds <= took.seconds + 1 for s in took.stages)
+
+
+def test_sweep(spark, tmp_path, capsys):
+    import sweep
+
+    argv = ["--mib", "8", "--codecs", "none,zstd:1", "--sides", "32", "--fills", "zeros", "--out", f"{tmp_path}/r.jsonl"]
+    first = sweep.main(argv, spark)
+    assert [r["codec"] for r in first] == ["none", "zstd:1"] and first[1]["ratio"] > 10 and all(r["stages"] and r["mib_s"] > 0 for r in first)
+    assert sweep.main(argv, spark) == first and capsys.readouterr().out.count("zstd:1") == 2
+    with pytest.raises(SpecError):
+        sweep.settings(sweep.arguments(["--fills", "red"]))
+
+
 def test_metrics(spark):
     plan = ArrayPlan(ArraySpec((Dim("x", 10, 4),), dtype="i32"))
     chunks, seen = metered(tile(cells(synthetic.ramp(spark, 10), plan.spec), plan), "chunks", "payload")
