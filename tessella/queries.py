@@ -6,7 +6,6 @@ stream in epochs of 100; ``embeddings`` is (vec, 64); ``lineitem`` gives volume,
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -24,6 +23,7 @@ from tessella.operators.tile import placed, tile, untile
 from tessella.plans.geometry import ArrayPlan, inverse_permutation, strides
 from tessella.plans.spec import FOLDERS, REDUCERS, ArraySpec, Codec, Dim, align_up, ceil_log2, ceildiv, dtype, next_pow2
 from tessella.sources import metadata, synthetic
+from tessella.sources.shared import new_folder
 
 Y, X = 20, 25
 #: Chunk counts (4, 5) and shards of 2 x 2 chunks: the second dimension ends in a shard that is not full.
@@ -48,12 +48,6 @@ def orders(spark: SparkSession, sf_dir: str, spec: ArraySpec | None = None) -> D
     return ce.cells(rows, spec or orders_spec())
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: below ``spark.checkpoint.dir`` or, where that is unset, the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 _CELLS = f"""c AS (SELECT o_orderkey AS idx, o_orderkey // {Y * X} AS t, o_orderkey // {X} % {Y} AS y, o_orderkey % {X} AS x,
 CAST(trunc(o_totalprice) AS BIGINT) AS v FROM orders)"""
 _REDUCE = {
@@ -254,7 +248,7 @@ def snk_packed(spark, sf_dir):
     from tessella.sources.store import read_array, write_packed
 
     dims = (T, Dim("y", Y, 4, 2, downsample=True), Dim("x", X, 4, 2, downsample=True))
-    spec, path = orders_spec(dims=dims, codec=Codec("zstd", 1), name="p"), shared_folder(spark, "packed")
+    spec, path = orders_spec(dims=dims, codec=Codec("zstd", 1), name="p"), new_folder(spark, "packed")
     source = orders(spark, sf_dir, spec)
     frames = source.agg(F.max("t")).first()[0] + 1
     write_packed(tile(source, ArrayPlan(spec)), spec, path, frames)
@@ -459,7 +453,7 @@ def snk_store_round_trip(spark, sf_dir):
     """Write all levels as a store, read every level back."""
     from tessella.sources.store import read_array, write_array
 
-    path = shared_folder(spark, "store")
+    path = new_folder(spark, "store")
     spec = orders_spec(codec=Codec("zstd", 1))
     plan = write_array(orders(spark, sf_dir, spec), spec, path)
     out = None
@@ -474,7 +468,7 @@ def snk_store_box(spark, sf_dir):
     """Read a box: shards and chunks outside it are not opened."""
     from tessella.sources.store import read_array, write_array
 
-    path = shared_folder(spark, "store")
+    path = new_folder(spark, "store")
     spec = orders_spec(codec=Codec("lz4", 3))
     write_array(orders(spark, sf_dir, spec), spec, path)
     return read_array(spark, path, "0/0").where("t >= 1 AND t < 2 AND y = 7 AND x < 12").select("t", "y", "x", "value")
@@ -501,7 +495,7 @@ def str_append(spark, sf_dir):
     from tessella.sources.store import read_array
     from tessella.streaming.append import AppendStream
 
-    spec, path = orders_spec(codec=Codec("zstd", 1)), shared_folder(spark, "stream")
+    spec, path = orders_spec(codec=Codec("zstd", 1)), new_folder(spark, "stream")
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_totalprice").cast("bigint").alias("value"))
     _streamed(spark, [rows.where("idx % 3 <> 0"), rows.where("idx % 3 = 0 OR idx % 5 = 0")], path, lambda: AppendStream(spark, spec, f"{path}/store", f"{path}/state"))
     AppendStream(spark, spec, f"{path}/store", f"{path}/state").finish()
@@ -517,7 +511,7 @@ def str_multi_array(spark, sf_dir):
     from tessella.sources.store import read_array
     from tessella.streaming.append import MultiAppendStream
 
-    path = shared_folder(spark, "multi")
+    path = new_folder(spark, "multi")
     e = read(spark, sf_dir, "events").select(F.lit(1).cast("bigint").alias("array_id"), F.col("event_id").alias("idx"), (F.col("event_id") % 1000).alias("value"))
     o = read(spark, sf_dir, "orders").select(F.lit(2).cast("bigint").alias("array_id"), F.col("o_orderkey").alias("idx"), (F.col("o_orderkey") % 777).alias("value"))
     specs = {1: ArraySpec((Dim("a", 0, 10, 4), Dim("b", 50, 10, 5)), dtype="i32", fill=-1, name="x"), 2: ArraySpec((Dim("a", 0, 10, 4), Dim("b", 20, 10, 2)), dtype="i32", fill=-1, name="x")}
@@ -534,7 +528,7 @@ def src_interleaved(spark, sf_dir):
     from tessella.sources.store import read_array
     from tessella.streaming.append import AppendStream
 
-    path, spec = shared_folder(spark, "two"), ArraySpec((Dim("t", 0, 10, 2), Dim("x", 40, 20, 2)), dtype="i32", name="a")
+    path, spec = new_folder(spark, "two"), ArraySpec((Dim("t", 0, 10, 2), Dim("x", 40, 20, 2)), dtype="i32", name="a")
     rows, streams = synthetic.xor(spark, spec, 4_000), [AppendStream(spark, spec, f"{path}/{w}", f"{path}/state-{w}") for w in (0, 1)]
     for k in range(2):
         for stream in streams:
@@ -550,7 +544,7 @@ def str_fold(spark, sf_dir):
     """Epochs of a stream folded in pairs; a pair comes out once both of its epochs are there."""
     from tessella.streaming.append import complete_folds
 
-    spec, path = ArraySpec((Dim("t", 0, 1, 1, True), Dim("x", 50, 25, downsample=True)), dtype="i32", append_reduce="max"), shared_folder(spark, "fold")
+    spec, path = ArraySpec((Dim("t", 0, 1, 1, True), Dim("x", 50, 25, downsample=True)), dtype="i32", append_reduce="max"), new_folder(spark, "fold")
     rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_totalprice").cast("bigint").alias("value"))
     for k in range(2):
         ce.cells(rows, spec).where(F.col("t") % 2 == k).coalesce(1).write.parquet(f"{path}/in/{k}")
@@ -567,7 +561,7 @@ def snk_stream(spark, sf_dir):
     from tessella.sources.store import FORMAT, encoded_levels, objects, read_array, register, write_metadata
 
     register(spark)
-    plan, path = ArrayPlan(orders_spec(codec=Codec("zstd", 1), name="s")), shared_folder(spark, "sink")
+    plan, path = ArrayPlan(orders_spec(codec=Codec("zstd", 1), name="s")), new_folder(spark, "sink")
     made = objects(encoded_levels(orders(spark, sf_dir).where("t < 12").select(F.lit(0).alias("level"), "*"), plan), plan, 12)
     made.write.parquet(f"{path}/in")
     stream = spark.readStream.schema(made.schema).parquet(f"{path}/in")
@@ -688,7 +682,7 @@ def snk_documents(spark, sf_dir):
     """Groups and arrays of a store, as its metadata documents tell them."""
     from tessella.sources.store import write_metadata
 
-    path, plan = shared_folder(spark, "documents"), ArrayPlan(orders_spec(name="plate/w"))
+    path, plan = new_folder(spark, "documents"), ArrayPlan(orders_spec(name="plate/w"))
     names = write_metadata(path, plan, 6)
     files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.col("value"), F.input_file_name().alias("file"))
     doc = F.from_json("value", "node_type string, shape array<int>")
