@@ -7,18 +7,18 @@ packing (bins of several lengths).  All but the last return the columns of ``doc
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import discard, mark, release, shared_dir, table
+from tessella.llm.common import discard, mark, release, table
 from tessella.llm.jaccard_join import without_near_copies
 from tessella.llm.language_id import fit_language_model, identified, trainable
 from tessella.llm.mixing import WEIGHTS, label_domains, mixed
 from tessella.llm.packing import pack, word_counts
 from tessella.llm.substring_dedup import without_repeats
+from tessella.sources.shared import new_folder
 
 
 #: Intermediate tables of the last stage, as marks.
@@ -90,7 +90,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base = new_folder(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{base}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,33 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.sources.shared import new_folder
+
 #: Text bytes that one vectorised step works on; it bounds a worker's memory whatever the batch size.
 STEP_BYTES = 1_000_000
-
-
 #: Folders of intermediate tables, in the order in which they were written.
 _written: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` or, where that is unset, one in the warehouse.
-
-    The latter goes when the session's JVM ends.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared-{uuid.uuid4().hex}"
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.mkdirs(folder)
-        files.deleteOnExit(folder)
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Write to Parquet in the shared folder and read back: the rows are computed once and survive lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

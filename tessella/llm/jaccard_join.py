@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, components, map_arrow, runs, shared_dir, steps, stored, unused
+from .common import binary_values, components, map_arrow, runs, steps, stored, unused
 from .words import Words, mix, ngrams
 
 N, THRESHOLD = 5, 0.8
@@ -237,8 +237,6 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, t
 
 def _labelled(docs: DataFrame, n: int, threshold: float, tolerance: float, by_bucket: float = 1.0) -> DataFrame:
     """``jaccard_classes`` with the set_id of every row and the label of its class, null where there are no words."""
-    spark = docs.sparkSession
-    shared_dir(spark)
     docs = docs.select("doc_id", "text")
     features = stored(map_arrow(docs, _features(n), "doc_id long, set_id binary, n_shingles long, bands array<long>"), "shingle-bands")
     known = features.where("set_id is not null and doc_id is not null")

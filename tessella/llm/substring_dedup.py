@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, release, runs, shared_dir, steps, stored, unused
+from .common import map_arrow, release, runs, steps, stored, unused
 from .words import Words, mix, ngrams
 
 K, WINDOW = 5, 12
@@ -631,7 +631,6 @@ def _dealt(df: DataFrame, buckets: int, *order: str) -> DataFrame:
 def _passages(docs: DataFrame) -> DataFrame:
     """``repeated_passages`` with the tags of both texts."""
     spark = docs.sparkSession
-    shared_dir(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = int(max(1, min(size // BUCKET_BYTES[0], MANY), size // BUCKET_BYTES[1]))

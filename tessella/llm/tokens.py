@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 import re
-import uuid
 import zlib
 from array import array
 from functools import lru_cache
@@ -28,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shared_dir, steps
+from tessella.sources.shared import new_folder
+
+from .common import map_arrow, steps
 from .ordering import part_of, splitters
 
 #: Bytes of a row group and of a page, before compression.
@@ -218,4 +219,4 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    return new_folder(spark, "tokens")
