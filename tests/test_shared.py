@@ -1,5 +1,6 @@
 """The folder for intermediate tables where no checkpoint folder is set."""
 
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -9,7 +10,7 @@ CODE = """
 from pyspark.sql import SparkSession
 from tessella.sources.shared import new_folder, shared_root
 spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", "{path}/house").getOrCreate()
-spark.conf.set("spark.checkpoint.dir", "")
+assert not spark.conf.get("spark.checkpoint.dir", None)
 root = shared_root(spark)
 assert root.startswith("file:{path}/house/") or root.startswith("{path}/house/"), root
 assert shared_root(spark) == root and new_folder(spark, "a") != new_folder(spark, "a")
@@ -20,7 +21,7 @@ spark.stop()
 
 
 def test_a_folder_in_the_warehouse_that_goes_with_the_session(tmp_path):
-    out = subprocess.run([sys.executable, "-c", CODE.format(path=tmp_path)], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    out = subprocess.run([sys.executable, "-c", CODE.format(path=tmp_path)], cwd=ROOT, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0 and "written" in out.stdout, out.stderr[-2000:]
     assert not list((tmp_path / "house").glob("_shared-*"))
 
