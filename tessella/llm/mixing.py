@@ -35,7 +35,7 @@ from .common import stored, unused
 PER_DOMAIN, VOCABULARY = 1_500, 8_192
 #: Logarithm of how much more likely a word must be in a domain to say something, and the sum at which a share is a half.
 SMOOTHING, LEAST, HALF = 5.0, math.log(3), 4.0
-TOLERANCE, RIDGE = 1e-7, 1e-9
+TOLERANCE, RIDGE = 1e-7, 1e-7
 #: ``mixed`` trades a miss of this share of the tokens for one unit of slope.
 SOFT = 1e-3
 
@@ -164,6 +164,31 @@ class Rates:
         return rate if self.most is None else F.least(F.lit(self.most), rate)
 
 
+def ascend(at, start: list, want: np.ndarray, free: np.ndarray, ridge: float, tolerance: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """Slopes within the span of ``free`` at which what is reached, plus ridge * slopes, is ``want``.
+
+    ``at(slopes)``: what is reached, the Gram matrix and the objective; ``start``: the same at 0.  The objective is convex
+    and quadratic between the places where rates meet bounds; the ridge keeps its minimum finite.  Ends when the gradient
+    is within the tolerance or a step lowers the objective by no more than rounding does.
+    """
+    slopes, (got, gram, square), taken = np.zeros(len(want)), start, 0
+    value = square
+    while np.abs(rise := free.T @ (want - got - ridge * slopes)).max(initial=0) > tolerance:
+        step, size = free @ np.linalg.solve(free.T @ gram @ free + ridge * np.eye(len(rise)), rise), 1.0
+        while True:
+            after = slopes + size * step
+            got_after, gram_after, square_after = at(after)
+            value_after = square_after - want @ after + 0.5 * ridge * after @ after
+            if value_after <= value - 1e-4 * size * (free @ rise @ step) or size * np.abs(step).max() <= 1e-12 * (1 + np.abs(slopes).max()):
+                break
+            size /= 2
+        taken += 1
+        if not value_after < value - 1e-14 * max(1.0, abs(value)):
+            break
+        slopes, value, got, gram = after, value_after, got_after, gram_after
+    return slopes, got, taken
+
+
 def fit_rates(members: DataFrame, weights: list[float], total_tokens: float | None = None, most: float | None = None, ridge: float = RIDGE, tolerance: float = TOLERANCE) -> Rates:
     """Nonnegative rates for members (n_tokens, p) whose expected tokens are nearest to their shares of ``total_tokens``.
 
@@ -196,26 +221,11 @@ def fit_rates(members: DataFrame, weights: list[float], total_tokens: float | No
         gram = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in d] for i in d]) / n
         return n, np.array([got[f"a{i}"] for i in d]) / n, gram, got["q"] / n
 
-    slopes = np.zeros(k)
-    n, got, gram, square = at(slopes)
+    n, *start = at(np.zeros(k))
     if not n:
         return Rates([0.0] * k, [0.0] * k, [0.0] * k, most=most)
     want = share * ((n if total_tokens is None else total_tokens) / n) if most is None else np.zeros(k)
-    value, taken = square, 0
-    while np.abs(rise := free.T @ (want - got - ridge * slopes)).max(initial=0) > tolerance:
-        damped = free.T @ gram @ free + (ridge + 0.001 * np.abs(rise).max()) * np.eye(len(rise))
-        step, size = free @ np.linalg.solve(damped, rise), 1.0
-        while True:
-            after = slopes + size * step
-            _, got_after, gram_after, square_after = at(after)
-            value_after = square_after - want @ after + 0.5 * ridge * after @ after
-            if value_after <= value - 1e-4 * size * (free @ rise @ step) or size * np.abs(step).max() <= 1e-12 * (1 + np.abs(slopes).max()):
-                break
-            size /= 2
-        taken += 1
-        if not value_after < value:
-            break
-        slopes, value, got, gram = after, value_after, got_after, gram_after
+    slopes, got, taken = ascend(lambda x: at(x)[1:], start, want, free, ridge, tolerance)
     wanted = share * (n * got.sum() if most is not None else n * want.sum())
     return Rates(slopes.tolist(), (n * got).tolist(), wanted.tolist(), taken, most)
 
