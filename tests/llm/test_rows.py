@@ -13,7 +13,7 @@ from tessella.llm.chat import canonical, format_chats, violations
 from tessella.llm.common import held_out
 from tessella.llm.flac import flac_column, media_digests, pcm_blocks
 from tessella.llm.language_id import LanguageModel, fit_language_model, identified, predict_language, shares, trainable
-from tessella.llm.mixing import fit_domains, fit_rates, mix, mixed, posteriors
+from tessella.llm.mixing import RIDGE, SOFT, ascend, fit_domains, fit_rates, mix, mixed, posteriors
 from tessella.llm.packing import LENGTHS, costs, pack, pack_sizes, word_counts
 from tessella.llm.quality import WIDTH, ByteNet, fit_quality, score_quality
 
@@ -286,6 +286,29 @@ def test_rates_against_brute_force(spark, shares_):
         assert miss < 1e-6 and (n * (got - 1) ** 2).sum() <= (n * (want - 1) ** 2).sum() * (1 + 1e-6)
 
 
+def test_steps_end_whatever_the_targets():
+    """Few steps, also where the targets cannot be met or all documents are alike."""
+    rng = np.random.default_rng(0)
+    for trial in range(200):
+        k, m = rng.integers(2, 6), rng.choice([1, 3, 20, 300])
+        p = rng.dirichlet(rng.choice([0.05, 0.3, 2, 50]) * np.ones(k), m)
+        n = rng.integers(1, 1000, m).astype(float)
+        share = rng.dirichlet(np.ones(k) * rng.choice([0.1, 1]))
+        for most, ridge in ((np.inf, RIDGE), (1.0, SOFT)):
+            calls = []
+
+            def at(slopes):
+                u = 1 + p @ slopes
+                r = np.clip(u, 0, most)
+                inside = (u > 0) & (u < most)
+                calls.append(1)
+                return (p * (n * r)[:, None]).sum(0) / n.sum(), (p[inside] * n[inside][:, None]).T @ p[inside] / n.sum(), (n * (np.maximum(u, 0) * r - r * r / 2)).sum() / n.sum()
+
+            free = np.eye(k) if most > 1 else np.linalg.svd(share[None])[2][1:].T
+            slopes, _, _ = ascend(at, list(at(np.zeros(k))), share if most > 1 else np.zeros(k), free, ridge, 1e-7)
+            assert len(calls) < 150 and np.isfinite(slopes).all()
+
+
 def test_rates_of_a_subset(spark):
     p, n, members = members_of(spark, 14)
     rates = fit_rates(members, [0.2, 0.4, 0.4], most=1.0, ridge=1e-6)
