@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, steps
-from .ordering import is_bound, part_of, splitters
+from .ordering import part_of, splitters
 from .words import Words, mix
 
 CELLS, GROWTH, CUT = 12, 4, 6
@@ -253,7 +253,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     low = ids.agg(F.min("doc_id").alias("low"), F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls")).first()
     placed = docs.withColumn("part", part_of(bounds)("doc_id"))
     # A splitter's rows are the first of their part; the row that leads the whole order also ends the last part.
-    is_first = is_bound(bounds)("doc_id")
+    # The splitters, at most ``ordering.MOST_PARTS`` numbers, are looked up in a broadcast table.
+    cuts = docs.sparkSession.createDataFrame([(b,) for b in bounds], "bound long")
+    placed = placed.join(F.broadcast(cuts), F.col("doc_id") == F.col("bound"), "left")
+    is_first = F.col("bound").isNotNull()
     leads = F.col("doc_id").isNull() if low["nulls"] else F.col("doc_id") == low["low"]
     copies = F.array_compact(
         F.array(

@@ -40,17 +40,3 @@ def part_of(bounds: list[int]):
 
     return part if len(bounds) else lambda c: F.lit(0)
 
-
-def is_bound(bounds: list[int]):
-    """Column function: whether a doc_id is one of the splitters, found by binary search."""
-    cuts = np.array(bounds, np.int64)
-
-    @F.pandas_udf("boolean")
-    def bound(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), bool)
-        own = ids[known].to_numpy().astype(np.int64)
-        out[known] = cuts[np.minimum(np.searchsorted(cuts, own), len(cuts) - 1)] == own
-        return pd.Series(out)
-
-    return bound if len(bounds) else lambda c: F.lit(False)
