@@ -69,6 +69,28 @@ def lower_cases(tokenizer_json: str) -> bool:
     return any(n.get("type") == "Lowercase" for n in inner) and all("<|" in t["content"] for t in spec.get("added_tokens", []))
 
 
+def letters_alone(tokenizer_json: str) -> bool:
+    """Whether a run of lower-case letters is one pre-token, which goes to the model byte by byte and as it is."""
+    spec = json.loads(tokenizer_json)
+    steps_ = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if [s.get("type") for s in steps_] != ["Split", "ByteLevel"] or not exact_by_chunk(tokenizer_json) or not lower_cases(tokenizer_json):
+        return False
+    kinds = steps_[0]["pattern"].get("Regex", "").split("|")
+    others = {r"[\p{N}]", r"[^\s\p{L}\p{N}]+"}
+    plain = not steps_[1].get("add_prefix_space") and not steps_[1].get("use_regex") and not spec["model"].get("dropout")
+    return plain and r"[\p{L}]+" in kinds and all(k.startswith("'") or k in others or k == r"[\p{L}]+" for k in kinds)
+
+
+def _byte_letters() -> dict[int, str]:
+    """What the byte-level alphabet writes for each byte: itself if it is printable, else the next character from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class _Chunks(dict):
     """Ids of chunks, as bytes of 32-bit integers, each made when it is first asked for."""
 
@@ -93,11 +115,19 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         spec = self.tokenizer.to_str()
         self.by_chunk, self.folds_case = exact_by_chunk(spec), lower_cases(spec)
-        self.known = _Chunks(self._one)
+        self.model = self.tokenizer.model if letters_alone(spec) else None
+        self.known = _Chunks(self._chunk)
 
     def _one(self, text: str) -> bytes:
         return array("i", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _chunk(self, text: str) -> bytes:
+        """A chunk of a text without other characters; letters go to the model alone, as the rest has nothing to do there."""
+        if self.model is None or not text.isalpha() or text != text.lower():
+            return self._one(text)
+        letters = text if text.isascii() else text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("i", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of 32-bit integers."""
         if len(self.known) > REMEMBERED:

@@ -24,8 +24,13 @@ def test_chunks_equal_whole_texts():
     for _ in range(2):
         for text, got in zip(texts, e.encode(texts)):
             assert np.frombuffer(got, np.int32).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+    letters = "abcdefgzéèßüñçæøåþðœšžÿĀıſaAB"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    assert e.model is not None
+    for text in (" ".join(words[k : k + 30]) for k in range(0, 3000, 30)):
+        assert np.frombuffer(e.encode([text])[0], np.int32).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
     other = Encoder(P.path("byte_bpe_50k.json"))
-    assert not other.by_chunk and not exact_by_chunk(other.tokenizer.to_str())
+    assert other.model is None and not other.by_chunk and not exact_by_chunk(other.tokenizer.to_str())
     assert np.frombuffer(other.encode(["a b"])[0], np.int32).tolist() == other.tokenizer.encode("a b", add_special_tokens=False).ids
 
 
